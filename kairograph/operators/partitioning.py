@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -86,9 +87,9 @@ def _wrapped_product(number: Column) -> Column:
     ANSI mode rejects an overflow of LONG, so the product is taken in decimals.
     """
     product = number.cast("decimal(11,0)") * F.lit(MIXING_PRIME).cast("decimal(16,0)")
-    span = F.lit(2**64).cast("decimal(20,0)")
-    low = F.pmod(product, span).cast("decimal(20,0)")
-    return F.abs(F.when(low >= F.lit(2**63).cast("decimal(20,0)"), low - span).otherwise(low))
+    span, half = F.lit(Decimal(2**64)), F.lit(Decimal(2**63))
+    low = F.pmod(product, span)
+    return F.abs(F.when(low >= half, low - span).otherwise(low))
 
 
 def grid_part(src_id: Column, dst_id: Column, n_parts: int) -> Column:
