@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Patterns, namespaces and default names of the input format.
 URI_PATTERN = "<[^>]+>"
 LITERAL_PATTERN = '"[^"]+"'
-LOCAL_NAME_PATTERN = "/([^/>]+)>$"
+XSD_NAMESPACE = "http://www.w3.org/2001/XMLSchema#"
 XSD_NUMBER_SUFFIX = r"\^\^<http://www\.w3\.org/2001/XMLSchema#(float|integer)>"
 IMDB_NAMESPACE = "http://imdb.org"
 DBPEDIA_NAMESPACE = "http://dbpedia.org"
@@ -30,11 +30,6 @@ INVALID_VALUES = ("????", "")
 _BLANKS = "".join(chr(code) for code in range(1, 33))
 
 
-def or_default(value: Column, default: str) -> Column:
-    """`regexp_extract` gives '' when nothing matched; turn that into a default."""
-    return F.when(value == "", F.lit(default)).otherwise(value)
-
-
 def strip_terminator(line: Column) -> Column:
     """Trim a line and drop its last character, whatever that character is."""
     trimmed = F.btrim(line, F.lit(_BLANKS))
@@ -43,7 +38,8 @@ def strip_terminator(line: Column) -> Column:
 
 def strip_xsd_number(text: Column) -> Column:
     """Cut the float/integer datatype so that typed numbers read as plain literals."""
-    return F.regexp_replace(text, XSD_NUMBER_SUFFIX, "")
+    typed = F.contains(text, F.lit(XSD_NAMESPACE))  # cheap, and false for most lines
+    return F.when(typed, F.regexp_replace(text, XSD_NUMBER_SUFFIX, "")).otherwise(text)
 
 
 def uris_in(text: Column) -> Column:
@@ -62,20 +58,39 @@ def mentions_type(uri: Column, types: Iterable[str]) -> Column:
     return found
 
 
+def _without_bracket(uri: Column) -> Column:
+    return F.left(uri, F.length(uri) - 1)
+
+
 def local_name(predicate: Column) -> Column:
-    return or_default(F.regexp_extract(predicate, LOCAL_NAME_PATTERN, 1), UNKNOWN_NAME)
+    """The last path segment of a `<...>` URI; a default when there is no slash or nothing after it."""
+    name = F.substring_index(_without_bracket(predicate), "/", -1)
+    usable = F.contains(predicate, F.lit("/")) & (name != "")
+    return F.when(usable, name).otherwise(F.lit(UNKNOWN_NAME))
+
+
+def _is_vertex(uri: Column, namespace: str) -> Column:
+    """`<namespace/type/name>` with a type and a name; the name may contain slashes."""
+    rest = _below(uri, namespace)
+    slash = F.instr(rest, "/")
+    return F.startswith(uri, F.lit(f"<{namespace}/")) & (slash > 1) & (slash < F.length(rest))
 
 
-def _vertex_pattern(namespace: str) -> str:
-    return f"^<{namespace}/([^/]+)/([^>]+)>$"
+def _below(uri: Column, namespace: str) -> Column:
+    """What follows the namespace, without the closing bracket."""
+    start = len(namespace) + 3
+    return F.substr(uri, F.lit(start), F.length(uri) - start)
 
 
 def vertex_type(uri: Column, namespace: str = IMDB_NAMESPACE) -> Column:
-    return or_default(F.regexp_extract(uri, _vertex_pattern(namespace), 1), UNKNOWN_TYPE)
+    kind = F.substring_index(_below(uri, namespace), "/", 1)
+    return F.when(_is_vertex(uri, namespace), kind).otherwise(F.lit(UNKNOWN_TYPE))
 
 
 def vertex_name(uri: Column, namespace: str = IMDB_NAMESPACE) -> Column:
-    return or_default(F.regexp_extract(uri, _vertex_pattern(namespace), 2), UNKNOWN_RESOURCE)
+    rest = _below(uri, namespace)
+    name = F.substr(rest, F.instr(rest, "/") + 1)
+    return F.when(_is_vertex(uri, namespace), name).otherwise(F.lit(UNKNOWN_RESOURCE))
 
 
 def last_uri_part(uri: Column) -> Column:

@@ -117,35 +117,37 @@ def _branches(edges: Sequence[PatternEdge], at: str) -> list[tuple[PatternEdge,
 
 
 def _reduced(
-    temporal: TemporalGraph, edges: Sequence[PatternEdge], attr_of: Mapping[str, str], at: str
+    temporal: TemporalGraph, edges: Sequence[PatternEdge], options: Mapping[str, Sequence[str]], at: str
 ) -> DataFrame:
-    """(uri, value columns, mask): the distinct value tuples of the subtree below each `at` vertex."""
+    """(uri, choice and value columns, mask): the distinct value tuples of the subtree below each vertex."""
     size = temporal.n_snapshots
     words = word_names(size)
     result = None
-    if at in attr_of:
-        own = (F.col("vtype") == at) & (F.col("attr") == attr_of[at])
-        name = column_name((at, attr_of[at]))
-        result = temporal.values.where(own).select("uri", F.col("value").alias(name), *words)
+    if at in options:
+        names = list(options[at])
+        own = temporal.values.where((F.col("vtype") == at) & F.col("attr").isin(names))
+        choice = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("attr")) - 1
+        columns = [choice.cast("int").alias(choice_name(at)), F.col("value").alias(value_name(at))]
+        result = own.select("uri", *columns, *words)
     for edge, below, here, there in _branches(edges, at):
         rest = [e for e in edges if e != edge]
         links = edges_of(temporal.edges, edge).select(
             F.col(here).alias("uri"), F.col(there).alias("below_uri"), *words
         )
-        subtree = _reduced(temporal, rest, attr_of, below)
+        subtree = _reduced(temporal, rest, options, below)
         if subtree is None:
-            names: list[str] = []
+            found: list[str] = []
             reached = links.select("uri", *words)
         else:
-            names = [c for c in subtree.columns if c != "uri" and c not in words]
+            found = [c for c in subtree.columns if c != "uri" and c not in words]
             matched = links.alias("a").join(
                 subtree.withColumnRenamed("uri", "below_uri").alias("b"),
                 (F.col("a.below_uri") == F.col("b.below_uri")) & overlaps("a", "b", size),
             )
-            reached = matched.select("a.uri", *[F.col(f"b.{n}") for n in names], *and_words("a", "b", size))
+            reached = matched.select("a.uri", *[F.col(f"b.`{n}`") for n in found], *and_words("a", "b", size))
         # Merging here, map-side first, is what keeps a hub from multiplying: however many
         # neighbours it has, only their distinct values go on.
-        message = reached.groupBy("uri", *names).agg(*or_words(size))
+        message = reached.groupBy("uri", *[f"`{n}`" for n in found]).agg(*or_words(size))
         if result is None:
             result = message
             continue
@@ -153,26 +155,46 @@ def _reduced(
         both = result.alias("a").join(
             message.alias("b"), (F.col("a.uri") == F.col("b.uri")) & overlaps("a", "b", size)
         )
-        columns = [F.col(f"a.{n}") for n in kept] + [F.col(f"b.{n}") for n in names]
+        columns = [F.col(f"a.`{n}`") for n in kept] + [F.col(f"b.`{n}`") for n in found]
         result = both.select("a.uri", *columns, *and_words("a", "b", size))
     return result
 
 
-def presence_by_tuple(
-    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], dependency: Sequence[Attribute]
+def choice_name(vtype: str) -> str:
+    return f"{vtype}:choice"
+
+
+def value_name(vtype: str) -> str:
+    return f"{vtype}:value"
+
+
+def presence_by_choice(
+    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], options: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Distinct valid attribute tuples of all matches, with the mask of their snapshots.
+    """Distinct valid attribute tuples of all matches, for every choice of one attribute per type.
 
-    `edges` form a tree and `dependency` names at most one attribute per type. Instances
-    are not listed: values travel along the tree towards its centre and are merged at
-    every step.
+    `edges` form a tree and `options` lists the attributes of its types. The result has,
+    for each type, the number of the chosen attribute and its value, and the mask of the
+    snapshots in which the tuple occurs. The choice is one more grouping column, so all
+    dependencies of a pattern come from a single pass over its edges.
+
+    Instances are not listed: values travel along the tree towards its centre and are
+    merged at every step.
     """
     pattern = make_pattern(edges)
     _require_tree(pattern.edges)
-    root = _center(pattern.edges)
-    reduced = _reduced(temporal, pattern.edges, dict(dependency), root)
-    names = [column_name(attribute) for attribute in dependency]
-    return reduced.groupBy(*names).agg(*or_words(temporal.n_snapshots))
+    reduced = _reduced(temporal, pattern.edges, options, _center(pattern.edges))
+    names = [name(vtype) for vtype in options for name in (choice_name, value_name)]
+    return reduced.groupBy(*[f"`{name}`" for name in names]).agg(*or_words(temporal.n_snapshots))
+
+
+def presence_by_tuple(
+    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], dependency: Sequence[Attribute]
+) -> DataFrame:
+    """The tuples of one dependency, which names at most one attribute per type."""
+    rows = presence_by_choice(temporal, edges, {vtype: [attr] for vtype, attr in dependency})
+    values = [F.col(f"`{value_name(vtype)}`").alias(column_name((vtype, attr))) for vtype, attr in dependency]
+    return rows.select(*values, *word_names(temporal.n_snapshots))
 
 
 def _counted(all_edges: DataFrame, edges: Sequence[PatternEdge], at: str) -> DataFrame | None:

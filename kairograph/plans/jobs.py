@@ -55,7 +55,7 @@ def sample_movie_graph(
     seed: str = "",
 ) -> PropertyGraph:
     """Typed parse, stable edge sample, then removal of anchors with too many incoming edges."""
-    graph = build_graph(stored_triples(parse_triples(lines, types)), n_snapshots)
+    graph = stored_graph(build_graph(stored_triples(parse_triples(lines, types)), n_snapshots))
     sampled = stable_sample_edges(graph.edges, n_snapshots, size, seed)
     selected = restrict(graph, vertices_on_edges(graph.vertices, sampled), sampled)
     return without_hubs(non_null_graph(selected), anchor, max_in)

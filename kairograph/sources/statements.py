@@ -14,12 +14,13 @@ KINDS = ("types", "literals", "objects")
 
 _NODE = r"<[^>]*>|_:\S+"
 _STATEMENT = rf"^\s*({_NODE})\s+(<[^>]*>)\s+(.+?)\s*\.\s*$"
+_MARK = chr(2)
 _LITERAL = r'^"((?:[^"\\]|\\.)*)"(.*)$'
 
 
 def _bare(node: Column) -> Column:
     """A URI without its angle brackets; blank nodes stay as they are."""
-    return F.regexp_replace(node, "^<(.*)>$", "$1")
+    return F.when(F.startswith(node, F.lit("<")), F.substr(node, F.lit(2), F.length(node) - 2)).otherwise(node)
 
 
 def _unescape(text: Column) -> Column:
@@ -33,20 +34,21 @@ def _object_text(node: Column) -> Column:
     """URIs bare; literals as `lexical`, `lexical^^datatype` or `lexical@language`."""
     lexical = _unescape(F.regexp_extract(node, _LITERAL, 1))
     suffix = F.regexp_replace(F.regexp_extract(node, _LITERAL, 2), r"^\^\^<(.*)>$", "^^$1")
-    return F.when(F.startswith(node, F.lit('"')), F.concat(lexical, suffix)).otherwise(_bare(node))
+    literal = F.concat(lexical, suffix)
+    return F.when(F.startswith(node, F.lit('"')), literal).otherwise(_bare(node))
 
 
 def parse_statements(lines: DataFrame) -> DataFrame:
     """Turn `line` into (subject, predicate, object); lines that are no statement are dropped."""
     kept = [name for name in lines.columns if name != "line"]
-    parts = [F.regexp_extract("line", _STATEMENT, i) for i in (1, 2, 3)]
-    subject, predicate, obj = parts
-    return lines.where(F.rlike("line", F.lit(_STATEMENT))).select(
-        *kept,
-        _bare(subject).alias("subject"),
-        _bare(predicate).alias("predicate"),
-        _object_text(obj).alias("object"),
+    # The pattern is matched once per line; a line that does not match stays in one piece.
+    marked = F.regexp_replace("line", _STATEMENT, f"$1{_MARK}$2{_MARK}$3")
+    parts = lines.select(*kept, F.split(marked, _MARK).alias("parts"))
+    subject, predicate, node = (F.get("parts", F.lit(i)) for i in range(3))
+    statement = F.struct(
+        _bare(subject).alias("subject"), _bare(predicate).alias("predicate"), _object_text(node).alias("object")
     )
+    return parts.select(*kept, F.inline(F.when(F.size("parts") == 3, F.array(statement))))
 
 
 def statement_path(base: str, year: str, kind: str) -> str:
