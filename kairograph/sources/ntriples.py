@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,23 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return reader.text(paths).select(_entry_name().alias("file_name"), F.col("value").alias("line"))
 
 
+def _number_files(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(snapshot, line): the place of the file in the list of names as the snapshot."""
+    number = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("file_name"))
+    return lines.select((number - 1).cast("int").alias("snapshot"), "line")
+
+
+def load_folder(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """((snapshot, line), file names in order) of all files in a folder, by one scan."""
+    lines = scan_lines(spark, path)
+    found = set()
+    for file in lines.inputFiles():
+        folder, name = unquote(file).split("/")[-2:]
+        found.add(folder.removeprefix("file=") if name.startswith("part-") else name)
+    names = sorted(found)
+    return _number_files(lines, names), names
+
+
 def load_snapshots(
     spark: SparkSession, base_path: str, start: str, end: str, prefix: str = FILE_PREFIX
 ) -> tuple[DataFrame, int]:
@@ -70,8 +88,7 @@ def load_snapshots(
     files = snapshot_dates(spark, start, end, prefix)
     names = [row.file_name for row in files.orderBy("snapshot").collect()]
     lines = scan_lines(spark, [base_path + name for name in names])
-    number = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("file_name"))
-    return lines.select((number - 1).cast("int").alias("snapshot"), "line"), len(names)
+    return _number_files(lines, names), len(names)
 
 
 def parse_triples(
