@@ -41,11 +41,11 @@ def parts_by_edge_label(edges: DataFrame, n_parts: int = PARTS) -> DataFrame:
     """
     counted = compact_copies(edges.select(*EDGE_COLUMNS))
     ranked = rank_by_hash(counted, ["snapshot", "rel"], EDGE_KEY, weight="copies")
-    parts = F.array(*[F.lit(part) for part in range(n_parts)])
-    dealt = ranked.select(*EDGE_COLUMNS, "copies", "rank", F.explode(parts).alias("part"))
-    turn = F.pmod(F.col("part") - F.col("rank"), F.lit(n_parts))
-    share = F.floor((F.col("copies") - 1 - turn) / n_parts) + 1
-    return dealt.where(turn < F.col("copies")).select(*EDGE_COLUMNS, "part", share.alias("copies"))
+    turns = F.sequence(F.lit(0).cast("long"), F.least(F.col("copies"), F.lit(n_parts).cast("long")) - 1)
+    dealt = ranked.select(*EDGE_COLUMNS, "copies", "rank", F.explode(turns).alias("turn"))
+    part = F.pmod(F.col("rank") + F.col("turn"), F.lit(n_parts)).cast("int")
+    share = F.floor((F.col("copies") - 1 - F.col("turn")) / n_parts) + 1
+    return dealt.select(*EDGE_COLUMNS, part.alias("part"), share.alias("copies"))
 
 
 def vertices_of_parts(vertices: DataFrame, edge_parts: DataFrame) -> DataFrame:
