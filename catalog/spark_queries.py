@@ -307,12 +307,12 @@ def non_null_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_hub_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_summary(filters.without_hubs(star.star_graph(spark, sf_dir), HUB_TYPE, HUB_DEGREE).edges)
+    return edge_summary(filters.without_hubs(jobs.stored_graph(star.star_graph(spark, sf_dir)), HUB_TYPE, HUB_DEGREE).edges)
 
 
 @query
 def filter_high_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_summary(filters.without_high_degree(star.star_graph(spark, sf_dir), HIGH_DEGREE).edges)
+    return edge_summary(filters.without_high_degree(jobs.stored_graph(star.star_graph(spark, sf_dir)), HIGH_DEGREE).edges)
 
 
 @query
@@ -685,5 +685,5 @@ def constant_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def discover_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = discovery.discover(star.star_graph(spark, sf_dir), k=2, theta=0.0, min_count=MIN_COUNT)
+    found = discovery.discover(jobs.stored_graph(star.star_graph(spark, sf_dir)), k=2, theta=0.0, min_count=MIN_COUNT)
     return found.withColumn("lhs", map_text("lhs")).withColumn("support", F.round("support", 12))

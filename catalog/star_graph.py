@@ -73,11 +73,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
             "snapshot",
             F.lit(vtype).alias("vtype"),
             _text(key).alias("uri"),
-            F.lit(attr).alias("attr"),
-            value.alias("value"),
+            F.inline(F.array(*[F.struct(F.lit(a).alias("attr"), v.alias("value")) for a, v in columns.items()])),
         )
         for vtype, rows, key, columns in sources
-        for attr, value in columns.items()
     ]
 
     def edge(rows: DataFrame, src_type: str, src: str, rel: str, dst_type: str, dst: str) -> DataFrame:

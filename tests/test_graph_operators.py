@@ -41,7 +41,9 @@ def skewed_edges():
 )
 def test_sample_is_exact_and_follows_the_hash(spark, skewed_edges, size, digits):
     df = edge_frame(spark, skewed_edges)
-    got = ranking.first_by_hash(df, "snapshot", EDGE_KEY, size, "s", digits).collect()
+    got = ranking.first_by_hash(df, ["snapshot"], EDGE_KEY, size, seed="s", digits=digits).collect()
+    counted = ranking.first_by_hash(ranking.compact_copies(df), ["snapshot"], EDGE_KEY, size, "copies", "s", digits)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, ranking.expand_copies(counted).collect()))
     for snapshot in (0, 1):
         rows = [row for row in skewed_edges if row[0] == snapshot]
         expected = sorted(rows, key=lambda row: md5_order("s", row[1:]))[:size]
