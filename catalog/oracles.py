@@ -158,7 +158,7 @@ def _statement_rows() -> str:
 
 STATEMENTS = f"""
 WITH sord AS (
-  SELECT *, CAST(year(o_orderdate) + 19 AS VARCHAR) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998),
+  SELECT *, CAST(2014 + (year(o_orderdate) - 1995) % 4 AS VARCHAR) AS year FROM orders),
 sbuy AS (SELECT DISTINCT o.year, c.* FROM sord o JOIN customer c ON c.c_custkey = o.o_custkey),
 snat AS (SELECT DISTINCT b.year, n.* FROM sbuy b JOIN nation n ON n.n_nationkey = b.c_nationkey),
 st AS (
@@ -607,7 +607,7 @@ def build() -> dict[str, str]:
         "attr_keys": GRAPH + "SELECT snapshot, vtype, attr, count(*) AS n FROM attrs GROUP BY ALL",
         "split_kinds": TEXT + "SELECT snapshot, kind, count(*) AS n FROM triples GROUP BY ALL",
         "drop_invalid_values": GRAPH
-        + "SELECT snapshot, vtype, uri, attr, value FROM attrs WHERE vtype = 'customer' AND value NOT IN ('????', '')",
+        + "SELECT snapshot, vtype, uri, attr, value FROM attrs WHERE value NOT IN ('????', '')",
         "statement_filters": STATEMENTS
         + """SELECT year, kind, predicate, count(*) AS n FROM st
           WHERE (kind = 'types' AND predicate LIKE '%#type') OR (kind = 'literals' AND contains(predicate, '/ontology/'))
@@ -705,10 +705,10 @@ def build() -> dict[str, str]:
         "custom_graph_imdb": movie_job_sql(),
         "custom_graph_dbpedia": encyclopedia_job_sql(),
         "edge_intersection": GRAPH
-        + f"SELECT {EDGE} FROM edges WHERE snapshot = 0 INTERSECT SELECT {EDGE} FROM edges WHERE snapshot = 1",
+        + f"SELECT snapshot, {EDGE} FROM edges INTERSECT SELECT CAST(snapshot + 1 AS INTEGER) AS snapshot, {EDGE} FROM edges",
         "edge_subtract": GRAPH
-        + f"""SELECT snapshot, {EDGE} FROM edges
-          ANTI JOIN (SELECT {EDGE} FROM edges WHERE snapshot = 0) USING ({EDGE}) WHERE snapshot = 1""",
+        + f"""SELECT e.snapshot, {EDGE} FROM edges e
+          ANTI JOIN (SELECT CAST(snapshot + 1 AS INTEGER) AS snapshot, {EDGE} FROM edges) p USING (snapshot, {EDGE})""",
         "partition_by_vertex_type": GRAPH + VERTEX_PARTS + parts_sql("vparts", "eparts"),
         "partition_by_edge_label": GRAPH + EDGE_PARTS + parts_sql("vparts", "eparts"),
         "partition_by_anchor_type": GRAPH + ANCHOR_PARTS + parts_sql("vparts", "eparts"),

@@ -281,8 +281,7 @@ def split_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drop_invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = star.star_graph(spark, sf_dir)
-    return filters.drop_invalid_values(graph.attributes.where(F.col("vtype") == "customer"))
+    return filters.drop_invalid_values(star.star_graph(spark, sf_dir).attributes)
 
 
 @query
@@ -537,16 +536,20 @@ def custom_graph_dbpedia(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- set operations and partitions ---------------------------------------------------
 
 
+def _edges_and_last(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The edges of every snapshot, and those of the snapshot before it under the same number."""
+    edges = star.star_graph(spark, sf_dir).edges
+    return edges, edges.withColumn("snapshot", F.col("snapshot") + 1)
+
+
 @query
 def edge_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = star.star_graph(spark, sf_dir)
-    return sampling.edge_intersection(graph.at(0).edges, graph.at(1).edges)
+    return sampling.edge_intersection(*_edges_and_last(spark, sf_dir), EDGE_COLUMNS)
 
 
 @query
 def edge_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = star.star_graph(spark, sf_dir)
-    return sampling.edge_subtract(graph.at(1).edges, graph.at(0).edges)
+    return sampling.edge_subtract(*_edges_and_last(spark, sf_dir), EDGE_COLUMNS)
 
 
 @query

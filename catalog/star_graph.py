@@ -147,9 +147,9 @@ def file_name(snapshot: Column) -> Column:
 
 
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(year, kind, line): resources of four years of orders, their customers and nations."""
-    order = table(spark, sf_dir, "orders").withColumn("year", (F.year("o_orderdate") + 19).cast("string"))
-    order = order.where(F.col("year").between("2014", "2017"))
+    """(year, kind, line): all orders, their customers and nations, dealt to the four years of the layout."""
+    year = F.pmod(F.year("o_orderdate") - FIRST_YEAR, F.lit(4)) + 2014
+    order = table(spark, sf_dir, "orders").withColumn("year", year.cast("string"))
     customer = table(spark, sf_dir, "customer")
     buyers = order.select("year", F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")
     nations = (

@@ -51,7 +51,9 @@ def _entry_name() -> Column:
     path = F.split(F.col("_metadata.file_path"), "/")
     name = F.element_at(path, -1)
     folder = F.regexp_replace(F.element_at(path, -2), "^file=", "")
-    return F.when(F.startswith(name, F.lit("part-")), folder).otherwise(name)
+    entry = F.when(F.startswith(name, F.lit("part-")), folder).otherwise(name)
+    # Paths come percent-encoded; a plus sign stands for itself.
+    return F.url_decode(F.replace(entry, F.lit("+"), F.lit("%2B")))
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
