@@ -97,25 +97,25 @@ found AS (
 kinds AS (
   SELECT *, CASE WHEN len(uris) = 2 AND len(lits) = 1 AND {wanted("uris[1]")} THEN 'attribute'
     WHEN len(uris) = 3 AND {wanted("uris[1]")} AND {wanted("uris[3]")} THEN 'edge' END AS kind FROM found),
-triples AS (
+triples AS MATERIALIZED (
   SELECT snapshot, uris[1] AS subject,
     CASE WHEN regexp_extract(uris[2], '/([^/>]+)>$', 1) = '' THEN 'unknown'
       ELSE regexp_extract(uris[2], '/([^/>]+)>$', 1) END AS name,
     CASE kind WHEN 'attribute' THEN replace(lits[1], '"', '') ELSE uris[3] END AS object, kind
   FROM kinds WHERE kind IS NOT NULL),
-tattrs AS (
+tattrs AS MATERIALIZED (
   SELECT snapshot, {part("subject", 1, "unknownType")} AS vtype, {part("subject", 2, "unknownResource")} AS uri,
     name AS attr, max(object) AS value
   FROM triples WHERE kind = 'attribute' GROUP BY ALL),
-tverts AS (SELECT DISTINCT snapshot, vtype, uri FROM tattrs),
-tedges AS (
+tverts AS MATERIALIZED (SELECT DISTINCT snapshot, vtype, uri FROM tattrs),
+tedges AS MATERIALIZED (
   SELECT snapshot, {part("subject", 1, "unknownType")} AS src_type, {part("subject", 2, "unknownResource")} AS src_uri,
     name AS rel, {part("object", 1, "unknownType")} AS dst_type, {part("object", 2, "unknownResource")} AS dst_uri
   FROM triples WHERE kind = 'edge'),
 tclosed AS (
-  SELECT e.* FROM tedges e
-  JOIN tverts s ON s.snapshot = e.snapshot AND s.vtype = e.src_type AND s.uri = e.src_uri
-  JOIN tverts d ON d.snapshot = e.snapshot AND d.vtype = e.dst_type AND d.uri = e.dst_uri)"""
+  SELECT * FROM tedges
+  WHERE (snapshot, src_type, src_uri) IN (SELECT snapshot, vtype, uri FROM tverts)
+    AND (snapshot, dst_type, dst_uri) IN (SELECT snapshot, vtype, uri FROM tverts))"""
 
 
 LINES = GRAPH + lines_cte()
@@ -161,22 +161,23 @@ WITH sord AS (
   SELECT *, CAST(2014 + (year(o_orderdate) - 1995) % 4 AS VARCHAR) AS year FROM orders),
 sbuy AS (SELECT DISTINCT o.year, c.* FROM sord o JOIN customer c ON c.c_custkey = o.o_custkey),
 snat AS (SELECT DISTINCT b.year, n.* FROM sbuy b JOIN nation n ON n.n_nationkey = b.c_nationkey),
-st AS (
+st AS MATERIALIZED (
   {_statement_rows()}),
+low AS MATERIALIZED (SELECT *, year || '|' || lower(subject) AS skey, year || '|' || lower(object) AS okey FROM st),
 typed AS (
   SELECT year, lower(subject) AS key, min({{'u': subject, 't': lower(regexp_extract(object, '[^/]*$'))}}) AS p
   FROM st WHERE kind = 'types' AND predicate LIKE '%#type' GROUP BY ALL),
-subs AS (SELECT CAST(CAST(year AS INTEGER) - 2014 AS INTEGER) AS snapshot, year, key, p.u AS uri, p.t AS vtype FROM typed),
-vals AS (
+subs AS MATERIALIZED (SELECT CAST(CAST(year AS INTEGER) - 2014 AS INTEGER) AS snapshot, year || '|' || key AS key, p.u AS uri, p.t AS vtype FROM typed),
+vals AS MATERIALIZED (
   SELECT s.snapshot, s.vtype, s.uri, lower(regexp_extract(predicate, '[^/]*$')) AS attr, max(split_part(object, '^^', 1)) AS value
-  FROM st JOIN subs s ON s.year = st.year AND s.key = lower(st.subject)
+  FROM low JOIN subs s ON s.key = low.skey
   WHERE kind = 'literals' AND contains(predicate, '/ontology/') GROUP BY ALL),
-links AS (
+links AS MATERIALIZED (
   SELECT a.snapshot, a.vtype AS src_type, a.uri AS src_uri, lower(regexp_extract(x.predicate, '[^/]*$')) AS rel,
     b.vtype AS dst_type, b.uri AS dst_uri
-  FROM (SELECT DISTINCT * FROM st WHERE kind = 'objects' AND object LIKE 'http%' AND lower(predicate) NOT LIKE '%seealso') x
-  JOIN subs a ON a.year = x.year AND a.key = lower(x.subject)
-  JOIN subs b ON b.year = x.year AND b.key = lower(x.object))
+  FROM (SELECT DISTINCT * FROM low WHERE kind = 'objects' AND object LIKE 'http%' AND lower(predicate) NOT LIKE '%seealso') x
+  JOIN subs a ON a.key = x.skey
+  JOIN subs b ON b.key = x.okey)
 """
 
 # Helpers ---------------------------------------------------------------------------------
