@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as registered
+from catalog.oracles import ORACLES
+from catalog.spark_queries import QUERIES
 from tests.check_oracles import connect, differences, spark_rows, sql_rows
 from tests.conftest import SF_DIR
 
@@ -13,12 +14,12 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, connection, name):
-    actual = spark_rows(registered.queries()[name](spark, SF_DIR))
-    expected = sql_rows(connection, registered.oracle_sql()[name])
+    actual = spark_rows(QUERIES[name](spark, SF_DIR))
+    expected = sql_rows(connection, ORACLES[name])
     assert expected[1], "the comparison must not be empty"
     assert differences(actual, expected) == ""
