@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import exact, packing, tokens
+from kairograph.llm import exact, mixing, packing, sharding, tokens
 from kairograph.llm.common import default_tokenizer, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         (F.col("n_tokens") > 512).alias("over_limit"),
     )
+
+
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+@query
+def op2_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("row.text")
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        (F.octet_length(text) + F.lit(sharding.ROW_BYTES)).cast("long").alias("size"),
+        F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
