@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import exact, mixing, packing, sharding, tokens
+from kairograph.llm import exact, mixing, packing, sharding, simhash, tokens
 from kairograph.llm.common import default_tokenizer, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,12 @@ def op2_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )

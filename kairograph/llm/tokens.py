@@ -13,7 +13,7 @@ from kairograph.llm.common import byte_pairs, ship, text_or_empty
 
 
 def frequent_lengths(
-    docs: DataFrame, text: str, tokenizer: str, sample_rows: int = 2000, sample_chars: int = 20_000, entries: int = 1 << 15
+    docs: DataFrame, text: str, tokenizer: str, sample_rows: int = 2000, sample_chars: int = 8000, entries: int = 1 << 15
 ) -> dict[str, int]:
     """The most frequent pre-tokens of a bounded sample with their token counts.
 
@@ -22,7 +22,7 @@ def frequent_lengths(
     """
     pairs = byte_pairs(tokenizer)
     seen: Counter[str] = Counter()
-    for row in docs.select(F.left(text_or_empty(text), F.lit(sample_chars)).alias("t")).limit(sample_rows).toLocalIterator():
+    for row in docs.select(F.left(text_or_empty(text), F.lit(sample_chars)).alias("t")).take(sample_rows):
         seen.update(pairs.pre_token.findall(row.t))
     return {piece: len(pairs.encoder.encode_ordinary(piece)) for piece, _ in seen.most_common(entries)}
 
