@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import exact, mixing, packing, sharding, simhash, tokens
+from kairograph.llm import exact, mixing, packing, sharding, simhash, suffixes, tokens
 from kairograph.llm.common import default_tokenizer, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,15 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("kept").cast("long")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - size).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
