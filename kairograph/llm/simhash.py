@@ -95,44 +95,39 @@ def pivot_distances(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
 
-def close_pairs(buckets: np.ndarray, prints: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the distance whose (sorted) bucket is the same.
+def connect(buckets: np.ndarray, prints: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """For each fingerprint the place of the first one that pairs within the distance connect it with in its (sorted) bucket.
 
-    The triangle inequality discards a pair as soon as one pivot coordinate differs by more than
-    the distance; only survivors are compared themselves.
+    Pairs are looked at by their shift, and those that are connected already are passed over, so no
+    list of pairs arises. The triangle inequality discards a pair as soon as one pivot coordinate
+    differs by more than the distance; only survivors are compared themselves.
     """
     coordinates = pivot_distances(prints)
-    left = np.arange(len(prints) - 1)
+    label = np.arange(len(prints))
+    left = label[:-1]
     shift = 1
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(left):
         left = left[left + shift < len(prints)]
         left = left[buckets[left] == buckets[left + shift]]
-        a = left
+        a = left[label[left] != label[left + shift]]
         for some in (slice(0, 4), slice(4, None)):
             differ = np.abs(coordinates[a, some] - coordinates[a + shift, some]).max(axis=1, initial=0)
             a = a[differ <= distance]
         a = a[np.bitwise_count(prints[a] ^ prints[a + shift]) <= distance]
-        found.append((a, a + shift))
+        label = _merged(label, a, a + shift)
         shift += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    return label
 
 
-def spanning_links(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One link per fingerprint that has a lesser one in its group, instead of all pairs."""
-    label = np.arange(len(prints))
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining the groups of a and b; a label is always the first place of its group."""
     while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(len(prints)))
-    return prints[moved], prints[label[moved]]
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+    return label
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +135,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros((2, 0), dtype=np.int64)
 
     def made(rows: np.ndarray) -> pa.RecordBatch:
-        prints = rows[1].view(np.uint64)
-        u, v = spanning_links(prints, *close_pairs(rows[0], prints))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        label = connect(rows[0], rows[1].view(np.uint64))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(rows[1, moved]), pa.array(rows[1, label[moved]])], names=["u", "v"])
 
     for batch in batches:
         rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)

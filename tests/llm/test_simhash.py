@@ -7,7 +7,7 @@ import xxhash
 
 from kairograph.llm import simhash
 from kairograph.llm.components import components
-from kairograph.llm.simhash import close_pairs, fingerprint, links, near_duplicates, one_of_each
+from kairograph.llm.simhash import connect, fingerprint, links, near_duplicates, one_of_each
 
 
 def plain_fingerprint(text):
@@ -120,18 +120,17 @@ def test_links_connect_all_that_are_close(spark, most):
     assert roots(len(prints), found) == brute(prints)
 
 
-def test_pairs_of_sorted_buckets():
+def test_groups_in_sorted_buckets():
     rng = np.random.default_rng(3)
     prints = np.array(clusters(rng, 4, 30, 4), dtype=np.uint64)
     buckets = np.sort(rng.integers(0, 3, len(prints)))
-    a, b = close_pairs(buckets, prints)
-    want = {
+    want = [
         (i, j)
         for i in range(len(prints))
         for j in range(i + 1, len(prints))
         if buckets[i] == buckets[j] and int(prints[i] ^ prints[j]).bit_count() <= 3
-    }
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    ]
+    assert connect(buckets, prints).tolist() == roots(len(prints), want)
 
 
 def test_components_of_chains_and_stars(spark):
