@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import exact, mixing, packing, sharding, simhash, suffixes, tokens, warc
+from kairograph.llm import exact, mixing, packing, quality, sharding, simhash, suffixes, tokens, warc
 from kairograph.llm.common import default_tokenizer, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,10 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are drawn."""
+    drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select(F.col("key").alias("doc_id"), "log_weight", "draw", F.lit(True).alias("kept"))
