@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import exact, mixing, packing, quality, sharding, simhash, suffixes, tokens, warc
+from kairograph.llm import exact, mixing, packing, quality, sharding, simhash, suffixes, tokens, topk, warc
 from kairograph.llm.common import default_tokenizer, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,24 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are drawn."""
     drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return drawn.select(F.col("key").alias("doc_id"), "log_weight", "draw", F.lit(True).alias("kept"))
+
+
+@query
+def op7_norm_bucketed_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.exact_top(table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
+ORACLES["op7_norm_bucketed_top5"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
