@@ -10,11 +10,13 @@ FOAF = "http://xmlns.com/foaf/0.1"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RES, ONT = "<http://dbpedia.org/resource/", "<http://dbpedia.org/ontology/"
-T = 7
+# Steps of the chain of samples: the number of years of the given orders.
+CHAIN = 7
+FIRST_YEAR = "(SELECT min(year(o_orderdate)) FROM orders)"
 
 GRAPH = """
 WITH RECURSIVE ord AS (
-  SELECT *, CAST(year(o_orderdate) - 1995 AS INTEGER) AS snapshot FROM orders),
+  SELECT *, CAST(year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) AS INTEGER) AS snapshot FROM orders),
 lin AS (
   SELECT o.snapshot, l.l_orderkey, l.l_partkey, l.l_suppkey
   FROM lineitem l JOIN ord o ON o.o_orderkey = l.l_orderkey),
@@ -158,7 +160,7 @@ def _statement_rows() -> str:
 
 STATEMENTS = f"""
 WITH sord AS (
-  SELECT *, CAST(2014 + (year(o_orderdate) - 1995) % 4 AS VARCHAR) AS year FROM orders),
+  SELECT *, CAST(2014 + (year(o_orderdate) - {FIRST_YEAR}) % 4 AS VARCHAR) AS year FROM orders),
 sbuy AS (SELECT DISTINCT o.year, c.* FROM sord o JOIN customer c ON c.c_custkey = o.o_custkey),
 snat AS (SELECT DISTINCT b.year, n.* FROM sbuy b JOIN nation n ON n.n_nationkey = b.c_nationkey),
 st AS MATERIALIZED (
@@ -187,9 +189,14 @@ EDGE_ITEM = "concat_ws('/', src_type, src_uri, rel, dst_type, dst_uri)"
 ATTR_MAP = "string_agg(attr || '=' || value, ';' ORDER BY attr || '=' || value)"
 
 
-def summary(source: str) -> str:
-    return f"""SELECT snapshot, rel, count(*) AS n_edges, count(DISTINCT (src_type, src_uri)) AS n_src,
-      count(DISTINCT (dst_type, dst_uri)) AS n_dst FROM {source} GROUP BY ALL"""
+LENGTH = "(SELECT max(snapshot) + 1 FROM ord)"
+POSSIBLE = "(SELECT (max(snapshot) + 1) * (max(snapshot) + 2) / 2.0 FROM ord)"
+
+
+def graph_rows(verts: str, attrs: str, edges: str) -> str:
+    return f"""SELECT 'vertex' AS kind, snapshot, concat_ws('/', vtype, uri) AS item FROM {verts}
+      UNION ALL SELECT 'attribute', snapshot, concat_ws('/', vtype, uri, attr, value) FROM {attrs}
+      UNION ALL SELECT 'edge', snapshot, {EDGE_ITEM} FROM {edges}"""
 
 
 def edge_hash(seed: str) -> str:
@@ -222,7 +229,7 @@ def stable_cte(edges: str, size: int, seed: str) -> str:
 num AS (SELECT *, row_number() OVER (PARTITION BY snapshot, {EDGE}) AS copy, {edge_hash(seed)} AS h FROM {edges}),
 s0 AS (SELECT {EDGE} FROM num WHERE snapshot = 0 ORDER BY h, {EDGE}, copy LIMIT {size})"""
     ]
-    for t in range(1, T):
+    for t in range(1, CHAIN):
         steps.append(
             f""",
 k{t} AS (SELECT {EDGE} FROM num WHERE snapshot = {t} INTERSECT SELECT {EDGE} FROM s{t - 1}),
@@ -231,7 +238,7 @@ r{t} AS (
 s{t} AS (
   SELECT * FROM k{t} UNION ALL SELECT {EDGE} FROM r{t} WHERE place <= {size} - (SELECT count(*) FROM k{t}))"""
         )
-    union = " UNION ALL ".join(f"SELECT {t} AS snapshot, * FROM s{t}" for t in range(T))
+    union = " UNION ALL ".join(f"SELECT {t} AS snapshot, * FROM s{t}" for t in range(CHAIN))
     return "".join(steps) + f",\nsampled AS ({union})"
 
 
@@ -398,7 +405,7 @@ SELECT rhs, lhs, rhs_value, CAST(len(seen) AS INTEGER) AS n_present, CAST({DELTA
   CAST({DELTA_MAX} AS INTEGER) AS delta_max FROM grp WHERE n = 1 AND len(seen) >= 2"""
 
 
-def discover_sql() -> str:
+def discover_sql(theta: float = 0.0) -> str:
     ctes, rows = [], []
     number = 0
     for edges in TWO_EDGE_PATTERNS:
@@ -415,13 +422,13 @@ def discover_sql() -> str:
                     f"any_value({rhs_type}_{rhs_attr}) AS rhs_value, any_value(seen) AS seen, "
                     f"(SELECT count(*) FROM {name}) AS n_tuples FROM {name} GROUP BY {lhs_cols} HAVING count(*) = 1"
                 )
-    possible = T * (T + 1) // 2
     return GRAPH + "".join(ctes) + f""",
 found AS ({' UNION ALL '.join(rows)})
 SELECT 2 AS level, pattern_id, lhs, rhs_attr, rhs_value, CAST({DELTA_MIN} AS INTEGER) AS delta_min,
   CAST({DELTA_MAX} AS INTEGER) AS delta_max, CAST(len(seen) AS INTEGER) AS n_present, n_tuples,
-  round((len(seen) * (len(seen) - 1) / 2) / (n_tuples * {possible}.0), 12) AS support
-FROM found WHERE len(seen) >= 2"""
+  round((len(seen) * (len(seen) - 1) / 2) / (n_tuples * {POSSIBLE}), 12) AS support
+FROM found WHERE len(seen) >= 2
+  AND (len(seen) * (len(seen) - 1) / 2) / (n_tuples * {POSSIBLE}) >= {theta}"""
 
 
 def dependency_values(columns: str, rows: list[tuple[str, ...]]) -> str:
@@ -562,15 +569,13 @@ def build() -> dict[str, str]:
         "snapshot_dates": MONTHS,
         "load_snapshots": LINES
         + parse_cte(("order", "customer", "nation", "part", "supplier"))
-        + "SELECT snapshot, kind, name, count(*) AS n FROM triples GROUP BY ALL",
-        "scan_ntriples_dir": LINES
-        + f"""SELECT {FILE_NAME} AS file_name, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
-          count(DISTINCT line) AS n_distinct FROM lines GROUP BY ALL""",
+        + parsed_rows,
+        "scan_ntriples_dir": LINES + f"SELECT {FILE_NAME} AS file_name, line FROM lines",
         "scan_statements": STATEMENTS + "SELECT year, kind, subject, predicate, object FROM st",
         "sink_ntriples": GRAPH
         + f", gl AS ({text_of('attrs', 'edges', IMDB)}) SELECT {FILE_NAME} AS file_name, line FROM gl",
         "part_file_name": PART_NAMES,
-        "sink_tgfds": constant_sql(),
+        "sink_tgfds": discover_sql(),
         "parse_triples_typed": LINES + parse_cte(("order", "nation", "/part/")) + parsed_rows,
         "parse_triples": TEXT + parsed_rows,
         "parse_triples_raw": LINES + parse_cte(None, False) + parsed_rows,
@@ -614,12 +619,19 @@ def build() -> dict[str, str]:
           WHERE (kind = 'types' AND predicate LIKE '%#type') OR (kind = 'literals' AND contains(predicate, '/ontology/'))
             OR (kind = 'objects' AND object LIKE 'http%' AND lower(predicate) NOT LIKE '%seealso') GROUP BY ALL""",
         "non_null_graph": TEXT
-        + """SELECT snapshot, vtype AS name, count(*) AS n FROM tverts WHERE vtype <> 'unknownType' GROUP BY ALL
-          UNION ALL SELECT snapshot, rel, count(*) FROM tedges WHERE rel <> 'placed_on' GROUP BY ALL""",
-        "filter_hub_vertices": GRAPH + _hub_cte() + summary("hubfree"),
-        "filter_high_degree": GRAPH + without_high_cte("verts", "edges", 12) + summary("lowe"),
+        + graph_rows(
+            "tverts WHERE vtype <> 'unknownType'", "tattrs WHERE vtype <> 'unknownType'", "tedges WHERE rel <> 'placed_on'"
+        ),
+        "filter_hub_vertices": GRAPH
+        + _hub_cte()
+        + graph_rows(
+            "verts ANTI JOIN hubs USING (snapshot, vtype, uri)", "attrs ANTI JOIN hubs USING (snapshot, vtype, uri)", "hubfree"
+        ),
+        "filter_high_degree": GRAPH
+        + without_high_cte("verts", "edges", 12)
+        + graph_rows("lowv", "attrs SEMI JOIN lowv USING (snapshot, vtype, uri)", "lowe"),
         "vertices_of_type": GRAPH + "SELECT snapshot, vtype, uri FROM verts WHERE vtype = 'customer'",
-        "edges_valid_endpoints": TEXT + summary("tclosed"),
+        "edges_valid_endpoints": TEXT + f"SELECT snapshot, {EDGE} FROM tclosed",
         "build_vertices": TEXT + f"SELECT snapshot, vtype, uri, {ATTR_MAP} AS attributes FROM tattrs GROUP BY ALL",
         "build_edges": TEXT + f"SELECT snapshot, {EDGE} FROM tedges",
         "integrate_rdf": STATEMENTS
@@ -637,24 +649,24 @@ def build() -> dict[str, str]:
           {text_of("ca", "ce", DBPEDIA)}""",
         "connected_graph": TEXT
         + degree_cte("tedges")
-        + """, cv AS (SELECT v.* FROM tverts v SEMI JOIN deg USING (snapshot, vtype, uri))
-          SELECT snapshot, vtype AS name, count(*) AS n FROM cv GROUP BY ALL
-          UNION ALL SELECT a.snapshot, 'attr:' || a.attr, count(*) FROM tattrs a SEMI JOIN cv USING (snapshot, vtype, uri)
-            GROUP BY a.snapshot, a.attr""",
+        + ", cv AS (SELECT v.* FROM tverts v SEMI JOIN deg USING (snapshot, vtype, uri)) "
+        + graph_rows("cv", "tattrs SEMI JOIN cv USING (snapshot, vtype, uri)", "tedges"),
         "graph_counts": TEXT
         + degree_cte("tedges")
-        + """, gv AS (SELECT snapshot, count(*) AS n FROM tverts GROUP BY ALL),
+        + f""", gv AS (SELECT snapshot, count(*) AS n FROM tverts GROUP BY ALL),
           ge AS (SELECT snapshot, count(*) AS n FROM tedges GROUP BY ALL),
           gd AS (SELECT snapshot, count(*) AS n FROM deg ANTI JOIN tverts USING (snapshot, vtype, uri) GROUP BY snapshot)
           SELECT CAST(r.range AS INTEGER) AS snapshot, coalesce(gv.n, 0) AS vertices, coalesce(ge.n, 0) AS edges,
             coalesce(gd.n, 0) AS dangling_endpoints
-          FROM range(7) r LEFT JOIN gv ON gv.snapshot = r.range LEFT JOIN ge ON ge.snapshot = r.range
+          FROM (SELECT unnest(range({LENGTH})) AS range) r LEFT JOIN gv ON gv.snapshot = r.range LEFT JOIN ge ON ge.snapshot = r.range
           LEFT JOIN gd ON gd.snapshot = r.range""",
         "statement_graph": STATEMENTS
-        + """, du AS (SELECT DISTINCT year, subject, predicate, object FROM st WHERE subject NOT LIKE '\\_:%' ESCAPE '\\')
-          SELECT u.year, u.subject, count(*) AS n_statements,
-            count(*) FILTER (WHERE EXISTS (SELECT 1 FROM du t WHERE t.year = u.year AND t.subject = u.object)) AS n_edges
-          FROM du u GROUP BY u.year, u.subject""",
+        + """, du AS MATERIALIZED (
+            SELECT DISTINCT year, subject, predicate, object FROM st WHERE subject NOT LIKE '\\_:%' ESCAPE '\\')
+          SELECT 'subject' AS kind, year, subject, '' AS predicate, CAST(count(*) AS VARCHAR) AS object FROM du GROUP BY year, subject
+          UNION ALL SELECT 'statement', year, subject, predicate, object FROM du
+          UNION ALL SELECT 'edge', u.year, u.subject, u.predicate, u.object FROM du u
+            SEMI JOIN (SELECT DISTINCT year, subject AS object FROM du) t USING (year, object)""",
         "restrict_vertices_to_edges": GRAPH
         + """SELECT DISTINCT snapshot, src_type AS vtype, src_uri AS uri FROM edges WHERE rel = 'contains'
           UNION SELECT DISTINCT snapshot, dst_type, dst_uri FROM edges WHERE rel = 'contains'""",
@@ -708,16 +720,24 @@ def build() -> dict[str, str]:
         "edge_intersection": GRAPH
         + f"SELECT snapshot, {EDGE} FROM edges INTERSECT SELECT CAST(snapshot + 1 AS INTEGER) AS snapshot, {EDGE} FROM edges",
         "edge_subtract": GRAPH
-        + f"""SELECT e.snapshot, {EDGE} FROM edges e
-          ANTI JOIN (SELECT CAST(snapshot + 1 AS INTEGER) AS snapshot, {EDGE} FROM edges) p USING (snapshot, {EDGE})""",
+        + f""", em AS MATERIALIZED (SELECT * FROM edges),
+          pm AS MATERIALIZED (SELECT DISTINCT CAST(snapshot + 1 AS INTEGER) AS snapshot, {EDGE}, 1 AS hit FROM em)
+          SELECT snapshot, {EDGE} FROM em LEFT JOIN pm USING (snapshot, {EDGE}) WHERE hit IS NULL""",
         "partition_by_vertex_type": GRAPH + VERTEX_PARTS + parts_sql("vparts", "eparts"),
         "partition_by_edge_label": GRAPH + EDGE_PARTS + parts_sql("vparts", "eparts"),
         "partition_by_anchor_type": GRAPH + ANCHOR_PARTS + parts_sql("vparts", "eparts"),
         "partition_edges_2d": GRAPH
         + f""", vid AS (SELECT vtype, uri, {hash32("uri || vtype")} AS id FROM (SELECT DISTINCT vtype, uri FROM verts)),
           x AS (SELECT e.*, a.id AS src_id, b.id AS dst_id FROM edges e
-            JOIN vid a ON a.vtype = e.src_type AND a.uri = e.src_uri JOIN vid b ON b.vtype = e.dst_type AND b.uri = e.dst_uri)
-          SELECT snapshot, {EDGE}, {grid(4)} AS part_of_4, {grid(6)} AS part_of_6 FROM x""",
+            JOIN vid a ON a.vtype = e.src_type AND a.uri = e.src_uri JOIN vid b ON b.vtype = e.dst_type AND b.uri = e.dst_uri),
+          g AS MATERIALIZED (
+            SELECT 4 AS n_parts, {grid(4)} AS part, snapshot, {EDGE} FROM x
+            UNION ALL SELECT 6, {grid(6)}, snapshot, {EDGE} FROM x),
+          gends AS (
+            SELECT n_parts, part, snapshot, src_type AS vtype, src_uri AS uri FROM g
+            UNION SELECT n_parts, part, snapshot, dst_type, dst_uri FROM g)
+          SELECT 'vertex' AS kind, snapshot, part, concat_ws('/', vtype, uri) AS item, n_parts FROM gends
+          UNION ALL SELECT 'edge', snapshot, part, {EDGE_ITEM}, n_parts FROM g""",
         "write_partitions": GRAPH
         + VERTEX_PARTS
         + f""", pattrs AS (SELECT a.*, p.part FROM attrs a JOIN vparts p USING (snapshot, vtype, uri)),
@@ -731,8 +751,8 @@ def build() -> dict[str, str]:
         + """SELECT pattern_id, array_to_string(list_filter(dep, lambda d: d <> r.rhs), ',') AS lhs, r.rhs AS rhs
           FROM deps, LATERAL (SELECT unnest(dep) AS rhs) r""",
         "one_hot_presence": BUY_PRESENCE
-        + """SELECT order_status, part_brand, customer_name,
-          array_to_string(list_transform(range(7), lambda i: CASE WHEN list_contains(seen, i) THEN 1 ELSE 0 END), ',') AS flags
+        + f"""SELECT order_status, part_brand, customer_name,
+          array_to_string(list_transform(range({LENGTH}), lambda i: CASE WHEN list_contains(seen, i) THEN 1 ELSE 0 END), ',') AS flags
           FROM pres""",
         "delta_interval": HOME_PRESENCE
         + f"""SELECT {', '.join(HOME_COLS)},
@@ -741,9 +761,10 @@ def build() -> dict[str, str]:
         "tgfd_support": HOME_PRESENCE
         + f"""SELECT {', '.join(HOME_COLS)}, CAST(len(seen) AS INTEGER) AS n_present,
           CAST(len(seen) * (len(seen) - 1) // 2 AS BIGINT) AS pairs,
-          round((len(seen) * (len(seen) - 1) / 2) / ((SELECT count(*) FROM pres) * 28.0), 12) AS support FROM pres""",
+          round((len(seen) * (len(seen) - 1) / 2) / ((SELECT count(*) FROM pres) * {POSSIBLE}), 12) AS support FROM pres""",
         "constant_dependencies": constant_sql(),
         "discover_tgfds": discover_sql(),
+        "discover_supported_tgfds": discover_sql(2e-5),
     }
 
 

@@ -22,7 +22,6 @@ from kairograph.sources import ntriples, statements
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-T = star.N_SNAPSHOTS
 MIN_COUNT = 100
 N_PARTS = 4
 GRID_PARTS = 6
@@ -30,6 +29,7 @@ SAMPLE_SIZE = 500
 STABLE_SIZE = 5000
 HUB_TYPE, HUB_DEGREE = "part", 10
 HIGH_DEGREE = 12
+THETA = 2e-5
 
 CONTAINS = ("order", "contains", "part")
 SUPPLIES = ("supplier", "supplies", "part")
@@ -62,16 +62,24 @@ def map_text(column: str) -> Column:
     return F.array_join(F.sort_array(entries), ";")
 
 
-def snapshot_list(n_snapshots: int = T) -> Column:
+def snapshot_list(n_snapshots: int) -> Column:
     return F.array_join(temporal.occurrences(n_snapshots), ",")
 
 
-def edge_summary(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("snapshot", "rel").agg(
-        F.count(F.lit(1)).alias("n_edges"),
-        F.countDistinct("src_type", "src_uri").alias("n_src"),
-        F.countDistinct("dst_type", "dst_uri").alias("n_dst"),
-    )
+def length(spark: SparkSession, sf_dir: str) -> int:
+    """Number of snapshots of the series."""
+    return star.series(spark, sf_dir)[1]
+
+
+def graph_rows(graph: PropertyGraph) -> DataFrame:
+    """A whole graph as one table (kind, snapshot, item)."""
+    items = {
+        "vertex": (graph.vertices, F.concat_ws("/", "vtype", "uri")),
+        "attribute": (graph.attributes, F.concat_ws("/", "vtype", "uri", "attr", "value")),
+        "edge": (graph.edges, F.concat_ws("/", *EDGE_KEY)),
+    }
+    rows = [df.select(F.lit(kind).alias("kind"), "snapshot", item.alias("item")) for kind, (df, item) in items.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +88,18 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph read from its text form, with foreign subjects and dangling edges."""
-    return assembly.build_graph(jobs.stored_triples(parsed(spark, sf_dir)), T)
+    return assembly.build_graph(jobs.stored_triples(parsed(spark, sf_dir)), length(spark, sf_dir))
 
 
 def all_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.parse_statements(star.statement_lines(spark, sf_dir))
 
 
+def stored_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed once, for queries that read them several times."""
+    return jobs.write_table(all_statements(spark, sf_dir), "statements", ["kind"])
+
+
 def home_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = matching.compress(star.star_graph(spark, sf_dir))
     return matching.presence_by_tuple(masked, HOME_PATTERN, HOME_DEPENDENCY)
@@ -94,7 +107,7 @@ def home_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def home_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = dependencies.as_value_arrays(home_tuples(spark, sf_dir), HOME_NAMES)
-    return dependencies.lhs_groups(values, len(HOME_NAMES), T)
+    return dependencies.lhs_groups(values, len(HOME_NAMES), length(spark, sf_dir))
 
 
 # --- sources and sinks ---------------------------------------------------------------
@@ -124,8 +137,9 @@ def load_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = star.text_lines(spark, sf_dir).select(star.file_name(F.col("snapshot")).alias("file"), "line")
     ntriples.write_lines(named, path)
     # The folder names carry the column name; it is part of the prefix.
-    lines, _ = ntriples.load_snapshots(spark, f"{path}/file=", star.FIRST_FILE_DATE, star.LAST_FILE_DATE)
-    return count_rows(ntriples.parse_triples(lines, star.TYPES), "snapshot", "kind", "name")
+    last = star.last_file_date(length(spark, sf_dir))
+    lines, _ = ntriples.load_snapshots(spark, f"{path}/file=", star.FIRST_FILE_DATE, last)
+    return ntriples.parse_triples(lines, star.TYPES)
 
 
 @query
@@ -133,18 +147,14 @@ def scan_ntriples_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "folder")
     named = star.text_lines(spark, sf_dir).select(star.file_name(F.col("snapshot")).alias("file"), "line")
     ntriples.write_lines(named, path)
-    scanned = ntriples.scan_lines(spark, path)
-    return scanned.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.length("line")).alias("n_chars"),
-        F.countDistinct("line").alias("n_distinct"),
-    )
+    lines, names = ntriples.load_folder(spark, path)
+    return lines.select(F.get(F.array(*[F.lit(name) for name in names]), "snapshot").alias("file_name"), "line")
 
 
 @query
 def scan_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "statements")
-    lines = star.statement_lines(spark, sf_dir)
+    lines = jobs.write_table(star.statement_lines(spark, sf_dir), "statement-lines", ["year", "kind"])
     for year in statements.YEARS:
         for kind in statements.KINDS:
             wanted = (F.col("year") == year) & (F.col("kind") == kind)
@@ -173,7 +183,7 @@ def part_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sink_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "dependencies")
-    constant_dependencies(spark, sf_dir).write.parquet(path)
+    discover_tgfds(spark, sf_dir).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -296,22 +306,21 @@ def non_null_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     holed = replace(
         graph,
         vertices=graph.vertices.withColumn("vtype", F.nullif("vtype", F.lit(rdf.UNKNOWN_TYPE))),
+        attributes=graph.attributes.withColumn("vtype", F.nullif("vtype", F.lit(rdf.UNKNOWN_TYPE))),
         edges=graph.edges.withColumn("rel", F.nullif("rel", F.lit("placed_on"))),
     )
     kept = filters.non_null_graph(holed)
-    return profile.vertex_type_counts(kept.vertices).withColumnRenamed("vtype", "name").unionByName(
-        profile.label_counts(kept.edges).withColumnRenamed("rel", "name")
-    )
+    return graph_rows(kept)
 
 
 @query
 def filter_hub_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_summary(filters.without_hubs(jobs.stored_graph(star.star_graph(spark, sf_dir)), HUB_TYPE, HUB_DEGREE).edges)
+    return graph_rows(filters.without_hubs(jobs.stored_graph(star.star_graph(spark, sf_dir)), HUB_TYPE, HUB_DEGREE))
 
 
 @query
 def filter_high_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_summary(filters.without_high_degree(jobs.stored_graph(star.star_graph(spark, sf_dir)), HIGH_DEGREE).edges)
+    return graph_rows(filters.without_high_degree(jobs.stored_graph(star.star_graph(spark, sf_dir)), HIGH_DEGREE))
 
 
 @query
@@ -322,7 +331,7 @@ def vertices_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def edges_valid_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = text_graph(spark, sf_dir)
-    return edge_summary(assembly.edges_within(graph.edges, graph.vertices))
+    return assembly.edges_within(graph.edges, graph.vertices).select(*EDGE_COLUMNS)
 
 
 # --- graph assembly ------------------------------------------------------------------
@@ -341,7 +350,7 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def integrate_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = rdf_graph.integrate_rdf(all_statements(spark, sf_dir))
+    graph = rdf_graph.integrate_rdf(stored_statements(spark, sf_dir))
     maps = assembly.vertex_maps(graph.attributes).withColumn("attributes", map_text("attributes"))
     with_maps = graph.vertices.join(maps, VERTEX_KEY, "left")
     full = with_maps.join(profile.degrees(graph.edges), VERTEX_KEY, "left")
@@ -351,14 +360,12 @@ def integrate_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def integrated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.integrated_lines(all_statements(spark, sf_dir))
+    return jobs.integrated_lines(stored_statements(spark, sf_dir))
 
 
 @query
 def connected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = assembly.connected_graph(text_graph(spark, sf_dir))
-    vertices = count_rows(graph.vertices, "snapshot", F.col("vtype").alias("name"))
-    return vertices.unionByName(count_rows(graph.attributes, "snapshot", F.concat(F.lit("attr:"), "attr").alias("name")))
+    return graph_rows(assembly.connected_graph(text_graph(spark, sf_dir)))
 
 
 @query
@@ -368,10 +375,17 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def statement_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_statements(spark, sf_dir)
-    linked = count_rows(rdf_graph.statement_edges(rows), "year", "subject").withColumnRenamed("n", "n_edges")
-    vertices = rdf_graph.statement_vertices(rows).join(linked, ["year", "subject"], "left")
-    return vertices.withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    """Subjects with the number of their statements, their statements, and labelled edges, as one table."""
+    rows = stored_statements(spark, sf_dir)
+    subjects = rdf_graph.statement_vertices(rows).select(
+        "year", "subject", F.lit("").alias("predicate"), F.col("n_statements").cast("string").alias("object")
+    )
+    kinds = {
+        "subject": subjects,
+        "statement": rdf_graph.subject_statements(rows),
+        "edge": rdf_graph.statement_edges(rows),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()])
 
 
 @query
@@ -438,12 +452,12 @@ def type_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def predicate_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.label_counts(assembly.build_edges(parsed(spark, sf_dir)))
+    return profile.descending(profile.label_counts(assembly.build_edges(parsed(spark, sf_dir))), "snapshot", "rel")
 
 
 @query
 def edge_combo_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.edge_type_counts(text_graph(spark, sf_dir))
+    return profile.descending(profile.edge_type_counts(text_graph(spark, sf_dir)), "snapshot", "src_type", "rel", "dst_type")
 
 
 @query
@@ -483,26 +497,24 @@ def rdf_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def presence_by_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return home_tuples(spark, sf_dir).select(*HOME_NAMES, snapshot_list().alias("snapshots"))
+    return home_tuples(spark, sf_dir).select(*HOME_NAMES, snapshot_list(length(spark, sf_dir)).alias("snapshots"))
 
 
 @query
 def constant_fd_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     lhs = F.array_join("lhs", "|").alias("lhs")
-    return home_groups(spark, sf_dir).select("rhs", lhs, "n", "rhs_value", snapshot_list().alias("snapshots"))
+    seen = snapshot_list(length(spark, sf_dir)).alias("snapshots")
+    return home_groups(spark, sf_dir).select("rhs", lhs, "n", "rhs_value", seen)
 
 
 @query
 def tuple_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dependencies of a pattern from one pass over its edges."""
     masked = matching.compress(star.star_graph(spark, sf_dir))
-    rows = []
-    for status in ("status", "priority"):
-        for buyer in ("name", "segment"):
-            dependency = [("order", status), ("customer", buyer), ("nation", "name")]
-            tuples = matching.presence_by_tuple(masked, HOME_PATTERN, dependency)
-            label = F.lit(f"order.{status},customer.{buyer},nation.name").alias("dependency")
-            rows.append(tuples.agg(F.count(F.lit(1)).alias("n")).select(label, "n"))
-    return reduce(DataFrame.unionByName, rows)
+    options = {"order": ["status", "priority"], "customer": ["name", "segment"], "nation": ["name"]}
+    tuples = matching.presence_by_choice(masked, HOME_PATTERN, options)
+    chosen = [F.concat(F.lit(f"{vtype}."), F.col(f"`{matching.choice_name(vtype)}`")) for vtype in options]
+    return count_rows(tuples, F.concat_ws(",", *chosen).alias("dependency"))
 
 
 # --- sampling ------------------------------------------------------------------------
@@ -510,26 +522,27 @@ def tuple_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_edges(star.star_graph(spark, sf_dir).edges, SAMPLE_SIZE, seed="s1")
+    edges = jobs.write_table(star.star_graph(spark, sf_dir).edges, "edges")
+    return sampling.sample_edges(edges, SAMPLE_SIZE, seed="s1")
 
 
 @query
 def stable_sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = jobs.write_table(star.star_graph(spark, sf_dir).edges, "edges", ["snapshot"])
-    return sampling.stable_sample_edges(edges, T, STABLE_SIZE, seed="s2")
+    return sampling.stable_sample_edges(edges, length(spark, sf_dir), STABLE_SIZE, seed="s2")
 
 
 @query
 def custom_graph_imdb(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.text_lines(spark, sf_dir)
-    graph = jobs.sample_movie_graph(lines, T, STABLE_SIZE, star.TYPES, anchor="nation", max_in=HUB_DEGREE, seed="s3")
+    graph = jobs.sample_movie_graph(lines, length(spark, sf_dir), STABLE_SIZE, star.TYPES, anchor="nation", max_in=HUB_DEGREE, seed="s3")
     return jobs.graph_lines(graph)
 
 
 @query
 def custom_graph_dbpedia(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.text_lines(spark, sf_dir, rdf.DBPEDIA_NAMESPACE)
-    graph = jobs.sample_encyclopedia_graph(lines, T, STABLE_SIZE, HIGH_DEGREE, seed="s4")
+    graph = jobs.sample_encyclopedia_graph(lines, length(spark, sf_dir), STABLE_SIZE, HIGH_DEGREE, seed="s4")
     return jobs.graph_lines(graph, rdf.DBPEDIA_NAMESPACE)
 
 
@@ -555,7 +568,7 @@ def edge_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def partition_by_vertex_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star.star_graph(spark, sf_dir)
-    vertex_parts = partitioning.parts_by_vertex_type(graph.vertices, N_PARTS)
+    vertex_parts = jobs.write_table(partitioning.parts_by_vertex_type(graph.vertices, N_PARTS), "vertex-parts")
     inside = partitioning.edges_inside_parts(graph.edges, vertex_parts)
     return _part_rows(vertex_parts, inside)
 
@@ -574,33 +587,34 @@ def _part_rows(vertex_parts: DataFrame, edge_parts: DataFrame) -> DataFrame:
 @query
 def partition_by_edge_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star.star_graph(spark, sf_dir)
-    edge_parts = partitioning.parts_by_edge_label(graph.edges, N_PARTS)
+    edge_parts = jobs.write_table(partitioning.parts_by_edge_label(graph.edges, N_PARTS), "edge-parts")
     return _part_rows(partitioning.vertices_of_parts(graph.vertices, edge_parts), edge_parts)
 
 
 @query
 def partition_by_anchor_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_rows(*partitioning.parts_by_anchor(star.star_graph(spark, sf_dir), "part", N_PARTS))
+    graph = jobs.stored_graph(star.star_graph(spark, sf_dir))
+    return _part_rows(*partitioning.parts_by_anchor(graph, "part", N_PARTS))
 
 
 @query
 def partition_edges_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, and the vertices that follow them, for a square and another number of parts."""
     graph = star.star_graph(spark, sf_dir)
-    src, dst = (rdf.vertex_id(F.col(uri), F.col(vtype)) for vtype, uri in assembly.ENDS)
-    with_ids = graph.edges.select(*EDGE_COLUMNS, src.alias("src_id"), dst.alias("dst_id"))
-    parts = [
-        partitioning.grid_part(F.col("src_id"), F.col("dst_id"), n).cast("int").alias(f"part_of_{n}")
-        for n in (N_PARTS, GRID_PARTS)
-    ]
-    return with_ids.select(*EDGE_COLUMNS, *parts)
+    rows = []
+    for n in (N_PARTS, GRID_PARTS):
+        edge_parts = jobs.write_table(partitioning.parts_on_grid(graph.edges, n), "grid-parts")
+        parts = _part_rows(partitioning.vertices_of_parts(graph.vertices, edge_parts), edge_parts)
+        rows.append(parts.withColumn("n_parts", F.lit(n)))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query
 def write_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star.star_graph(spark, sf_dir)
-    vertex_parts = partitioning.parts_by_vertex_type(graph.vertices, N_PARTS)
+    vertex_parts = jobs.write_table(partitioning.parts_by_vertex_type(graph.vertices, N_PARTS), "vertex-parts")
     lines = jobs.part_lines(graph, vertex_parts, partitioning.edges_inside_parts(graph.edges, vertex_parts))
-    names = spark.range(T).select(F.col("id").cast("int").alias("snapshot"))
+    names = spark.range(length(spark, sf_dir)).select(F.col("id").cast("int").alias("snapshot"))
     names = names.withColumn("file_name", star.file_name(F.col("snapshot")))
     path = new_path(spark, "parts")
     ntriples.write_lines(jobs.name_parts(lines, names), path)
@@ -656,25 +670,27 @@ def lhs_rhs_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_hot_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = matching.compress(star.star_graph(spark, sf_dir))
     tuples = matching.presence_by_tuple(masked, BUY_PATTERN, BUY_DEPENDENCY)
-    seen = temporal.occurrences(T)
+    size = masked.n_snapshots
+    seen = temporal.occurrences(size)
     flags = F.transform(
-        F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.array_contains(seen, i).cast("int").cast("string")
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(seen, i).cast("int").cast("string")
     )
     return tuples.select(*[matching.column_name(a) for a in BUY_DEPENDENCY], F.array_join(flags, ",").alias("flags"))
 
 
 @query
 def delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = home_tuples(spark, sf_dir).select(*HOME_NAMES, temporal.occurrences(T).alias("seen"))
+    seen = home_tuples(spark, sf_dir).select(*HOME_NAMES, temporal.occurrences(length(spark, sf_dir)).alias("seen"))
     low, high = temporal.delta_min(F.col("seen")), temporal.delta_max(F.col("seen"))
     return seen.select(*HOME_NAMES, low.alias("delta_min"), high.alias("delta_max"))
 
 
 @query
 def tgfd_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuples = home_tuples(spark, sf_dir).withColumn("n_present", temporal.presence_count(T))
+    size = length(spark, sf_dir)
+    tuples = home_tuples(spark, sf_dir).withColumn("n_present", temporal.presence_count(size))
     total = tuples.agg(F.count(F.lit(1))).scalar()
-    support = temporal.support(F.col("n_present"), F.col("n_tuples"), T)
+    support = temporal.support(F.col("n_present"), F.col("n_tuples"), size)
     pairs = temporal.pair_count(F.col("n_present"))
     return tuples.withColumn("n_tuples", total).select(*HOME_NAMES, "n_present", pairs.alias("pairs"), F.round(support, 12).alias("support"))
 
@@ -682,11 +698,21 @@ def tgfd_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def constant_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     constant = dependencies.constant_dependencies(home_groups(spark, sf_dir))
-    found = dependencies.with_deltas(constant, T)
+    found = dependencies.with_deltas(constant, length(spark, sf_dir))
     return found.select("rhs", F.array_join("lhs", "|").alias("lhs"), "rhs_value", "n_present", "delta_min", "delta_max")
 
 
+def _discovered(spark: SparkSession, sf_dir: str, theta: float) -> DataFrame:
+    found = discovery.discover(star.star_graph(spark, sf_dir), k=2, theta=theta, min_count=MIN_COUNT)
+    return found.withColumn("lhs", map_text("lhs")).withColumn("support", F.round("support", 12))
+
+
 @query
 def discover_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = discovery.discover(jobs.stored_graph(star.star_graph(spark, sf_dir)), k=2, theta=0.0, min_count=MIN_COUNT)
-    return found.withColumn("lhs", map_text("lhs")).withColumn("support", F.round("support", 12))
+    return _discovered(spark, sf_dir, 0.0)
+
+
+@query
+def discover_supported_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a threshold in the middle of the supports of the given tables."""
+    return _discovered(spark, sf_dir, THETA)

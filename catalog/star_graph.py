@@ -14,19 +14,24 @@ from kairograph.functions import rdf
 from kairograph.model import PropertyGraph
 from kairograph.sources.ntriples import format_attributes, format_edges
 
-FIRST_YEAR = 1995
-N_SNAPSHOTS = 7
 TYPES = ("order", "customer", "nation", "part", "supplier")
 FIRST_FILE_DATE = "170909"
-LAST_FILE_DATE = "180309"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def series(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(first year, number of snapshots) of the orders: one small aggregate."""
+    year = F.year("o_orderdate")
+    first, last = table(spark, sf_dir, "orders").agg(F.min(year), F.max(year)).first()
+    return (first, last - first + 1) if first is not None else (0, 0)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshot = (F.year("o_orderdate") - FIRST_YEAR).cast("int").alias("snapshot")
+    first_year, _ = series(spark, sf_dir)
+    snapshot = (F.year("o_orderdate") - first_year).cast("int").alias("snapshot")
     return table(spark, sf_dir, "orders").select("*", snapshot)
 
 
@@ -96,7 +101,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     ]
     unite = DataFrame.unionByName
     return PropertyGraph(
-        reduce(unite, vertices), reduce(unite, attributes), reduce(unite, edges), N_SNAPSHOTS, closed=True
+        reduce(unite, vertices), reduce(unite, attributes), reduce(unite, edges), series(spark, sf_dir)[1], closed=True
     )
 
 
@@ -146,9 +151,15 @@ def file_name(snapshot: Column) -> Column:
     return F.concat(F.lit("imdb-"), F.date_format(date, "yyMMdd"), F.lit(".nt"))
 
 
+def last_file_date(n_snapshots: int) -> str:
+    """The date of the last file, one month after the one before it."""
+    months = 8 + n_snapshots - 1
+    return f"{17 + months // 12:02d}{months % 12 + 1:02d}09"
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, kind, line): all orders, their customers and nations, dealt to the four years of the layout."""
-    year = F.pmod(F.year("o_orderdate") - FIRST_YEAR, F.lit(4)) + 2014
+    year = F.pmod(F.year("o_orderdate") - series(spark, sf_dir)[0], F.lit(4)) + 2014
     order = table(spark, sf_dir, "orders").withColumn("year", year.cast("string"))
     customer = table(spark, sf_dir, "customer")
     buyers = order.select("year", F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")

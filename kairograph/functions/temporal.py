@@ -7,6 +7,7 @@ A series of T snapshots needs ceil(T / 62) words. Words are combined with
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,11 +24,25 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
 
 
+def within_series(snapshot: Column, n_snapshots: int) -> Column:
+    """The snapshot; a null one, or one outside 0 to n - 1, is an error and not a lost row."""
+    message = F.concat(F.lit("snapshot outside the series: "), F.coalesce(snapshot.cast("string"), F.lit("null")))
+    return F.when(snapshot.between(0, n_snapshots - 1), snapshot).otherwise(F.raise_error(message).cast("int"))
+
+
+def place_in(name: Column, names: Sequence[str], what: str) -> Column:
+    """The zero-based place of a name in the list; a null or unknown name is an error."""
+    position = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), name), F.lit(0))
+    message = F.concat(F.lit(f"unknown {what}: "), F.coalesce(name, F.lit("null")))
+    return F.when(position > 0, position - 1).otherwise(F.raise_error(message).cast("long")).cast("int")
+
+
 def snapshot_words(snapshot: Column, n_snapshots: int) -> list[Column]:
-    """The mask words with the one bit of `snapshot` set."""
+    """The mask words with the one bit of `snapshot` set; it must lie within the series."""
+    inside_series = within_series(snapshot, n_snapshots)
     words = []
     for word, name in enumerate(word_names(n_snapshots)):
-        position = snapshot - word * WORD_BITS
+        position = inside_series - word * WORD_BITS
         inside = position.between(0, WORD_BITS - 1)
         words.append(F.when(inside, _bit(position)).otherwise(F.lit(0).cast("long")).alias(name))
     return words

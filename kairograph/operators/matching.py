@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from kairograph.operators.assembly import closed_edges
 from kairograph.operators.patterns import PatternEdge, make_pattern
 
 Attribute = tuple[str, str]  # (vertex type, attribute name)
+# Products of counts of hubs can exceed LONG on the way.
+COUNT = "decimal(38,0)"
 
 
 def column_name(attribute: Attribute) -> str:
@@ -39,15 +42,28 @@ def _connected_order(edges: Sequence[PatternEdge]) -> list[PatternEdge]:
     return ordered
 
 
+def _rarest_first(all_edges: DataFrame, edges: Sequence[PatternEdge]) -> list[PatternEdge]:
+    """The edges of a pattern by the number of rows of their types, one row per type counted."""
+    if len(edges) < 2:
+        return list(edges)
+    kinds = [(F.col("src_type") == e.src) & (F.col("rel") == e.rel) & (F.col("dst_type") == e.dst) for e in edges]
+    wanted = all_edges.where(reduce(lambda a, b: a | b, kinds))
+    rows = wanted.groupBy("src_type", "rel", "dst_type").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {(row.src_type, row.rel, row.dst_type): row.n for row in rows}
+    return sorted(edges, key=lambda e: found.get((e.src, e.rel, e.dst), 0))
+
+
 def motif_match(graph: PropertyGraph, edges: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Every instance of the pattern: (snapshot, `<type>_uri` for each vertex type).
 
     Listing instances is the purpose here, so a hub multiplies them. Use `instance_counts`
     to count them and `presence_by_tuple` for their attribute values; neither lists them.
+    The joins begin with the rarest edge type, by one count of the types of the pattern, and go
+    on with the rarest that is connected.
     """
     all_edges = closed_edges(graph)
     matches = None
-    for edge in _connected_order([PatternEdge(*e) for e in edges]):
+    for edge in _connected_order(_rarest_first(all_edges, [PatternEdge(*e) for e in edges])):
         ends = [F.col("src_uri").alias(f"{edge.src}_uri"), F.col("dst_uri").alias(f"{edge.dst}_uri")]
         rows = edges_of(all_edges, edge).select("snapshot", *ends)
         if matches is None:
@@ -117,17 +133,17 @@ def _branches(edges: Sequence[PatternEdge], at: str) -> list[tuple[PatternEdge,
 
 
 def _reduced(
-    temporal: TemporalGraph, edges: Sequence[PatternEdge], options: Mapping[str, Sequence[str]], at: str
+    temporal: TemporalGraph, edges: Sequence[PatternEdge], options: Mapping[str, Sequence[str] | None], at: str
 ) -> DataFrame:
     """(uri, choice and value columns, mask): the distinct value tuples of the subtree below each vertex."""
     size = temporal.n_snapshots
     words = word_names(size)
     result = None
     if at in options:
-        names = list(options[at])
-        own = temporal.values.where((F.col("vtype") == at) & F.col("attr").isin(names))
-        choice = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("attr")) - 1
-        columns = [choice.cast("int").alias(choice_name(at)), F.col("value").alias(value_name(at))]
+        own = temporal.values.where(F.col("vtype") == at)
+        if options[at] is not None:
+            own = own.where(F.col("attr").isin(list(options[at])))
+        columns = [F.col("attr").alias(choice_name(at)), F.col("value").alias(value_name(at))]
         result = own.select("uri", *columns, *words)
     for edge, below, here, there in _branches(edges, at):
         rest = [e for e in edges if e != edge]
@@ -169,12 +185,12 @@ def value_name(vtype: str) -> str:
 
 
 def presence_by_choice(
-    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], options: Mapping[str, Sequence[str]]
+    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], options: Mapping[str, Sequence[str] | None]
 ) -> DataFrame:
     """Distinct valid attribute tuples of all matches, for every choice of one attribute per type.
 
-    `edges` form a tree and `options` lists the attributes of its types. The result has,
-    for each type, the number of the chosen attribute and its value, and the mask of the
+    `edges` form a tree and `options` lists the attributes of its types, None for all of
+    them. The result has, for each type, the chosen attribute and its value, and the mask of the
     snapshots in which the tuple occurs. The choice is one more grouping column, so all
     dependencies of a pattern come from a single pass over its edges.
 
@@ -205,21 +221,24 @@ def _counted(all_edges: DataFrame, edges: Sequence[PatternEdge], at: str) -> Dat
         links = edges_of(all_edges, edge).select("snapshot", F.col(here).alias("uri"), F.col(there).alias("below_uri"))
         subtree = _counted(all_edges, rest, below)
         if subtree is None:
-            weighted = links.withColumn("n", F.lit(1).cast("long"))
+            weighted = links.withColumn("n", F.lit(1).cast(COUNT))
         else:
             weighted = links.join(subtree.withColumnRenamed("uri", "below_uri"), ["snapshot", "below_uri"])
-        message = weighted.groupBy("snapshot", "uri").agg(F.sum("n").alias("n"))
+        message = weighted.groupBy("snapshot", "uri").agg(F.sum("n").cast(COUNT).alias("n"))
         if result is None:
             result = message
         else:
             joined = result.join(message.withColumnRenamed("n", "more"), ["snapshot", "uri"])
-            result = joined.select("snapshot", "uri", (F.col("n") * F.col("more")).alias("n"))
+            result = joined.select("snapshot", "uri", (F.col("n") * F.col("more")).cast(COUNT).alias("n"))
     return result
 
 
 def instance_counts(graph: PropertyGraph, edges: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(snapshot, n): number of instances of a tree pattern, without listing them."""
+    """(snapshot, n): number of instances of a tree pattern, without listing them.
+
+    Products are taken in decimals; a number beyond LONG is an error only as the final result.
+    """
     pattern = make_pattern(edges)
     _require_tree(pattern.edges)
     counted = _counted(closed_edges(graph), pattern.edges, _center(pattern.edges))
-    return counted.groupBy("snapshot").agg(F.sum("n").alias("n"))
+    return counted.groupBy("snapshot").agg(F.sum("n").cast("long").alias("n"))

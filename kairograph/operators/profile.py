@@ -24,6 +24,11 @@ def most_frequent(counts: DataFrame, *names: str, top: int = TOP) -> DataFrame:
     return counts.orderBy(F.desc("n"), *names).limit(top)
 
 
+def descending(counts: DataFrame, *names: str) -> DataFrame:
+    """All rows by falling `n`; equal counts by name, ascending."""
+    return counts.orderBy(F.desc("n"), *names)
+
+
 def vertex_type_counts(vertices: DataFrame) -> DataFrame:
     return count_by(vertices, "snapshot", "vtype")
 

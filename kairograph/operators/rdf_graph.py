@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
+from kairograph.functions.temporal import place_in
 from kairograph.model import EDGE_COLUMNS, PropertyGraph
 from kairograph.sources.statements import YEARS
 
@@ -31,8 +32,8 @@ def is_edge_statement() -> Column:
 
 
 def _number_years(statements: DataFrame, years: Sequence[str]) -> DataFrame:
-    position = F.array_position(F.array(*[F.lit(year) for year in years]), F.col("year"))
-    return statements.withColumn("snapshot", (position - 1).cast("int"))
+    """Each year as a snapshot; a year that is not in the list is an error."""
+    return statements.withColumn("snapshot", place_in(F.col("year"), years, "year"))
 
 
 def typed_subjects(statements: DataFrame) -> DataFrame:
@@ -90,9 +91,13 @@ def statement_vertices(statements: DataFrame) -> DataFrame:
 
     The statements themselves stay in the long table: a subject can hold most of them.
     """
+    return subject_statements(statements).groupBy("year", "subject").agg(F.count(F.lit(1)).alias("n_statements"))
+
+
+def subject_statements(statements: DataFrame) -> DataFrame:
+    """The distinct statements of URI subjects: (year, subject, predicate, object)."""
     uris = statements.where(~F.startswith("subject", F.lit("_:")))
-    triples = uris.select("year", "subject", "predicate", "object").distinct()
-    return triples.groupBy("year", "subject").agg(F.count(F.lit(1)).alias("n_statements"))
+    return uris.select("year", "subject", "predicate", "object").distinct()
 
 
 def statement_edges(statements: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
+from kairograph.functions.temporal import place_in
 
 # The date format and name parts of snapshot files.
 DATE_FORMAT = "yyMMdd"
@@ -46,9 +46,9 @@ def snapshot_dates(spark: SparkSession, start: str, end: str, prefix: str = FILE
     return name_snapshots(bounds, "start", "end", prefix)
 
 
-def _entry_name() -> Column:
+def _entry_name(file_path: Column) -> Column:
     """Name of the file, or of the folder when the text was written as a folder of parts."""
-    path = F.split(F.col("_metadata.file_path"), "/")
+    path = F.split(file_path, "/")
     name = F.element_at(path, -1)
     folder = F.regexp_replace(F.element_at(path, -2), "^file=", "")
     entry = F.when(F.startswith(name, F.lit("part-")), folder).otherwise(name)
@@ -59,23 +59,20 @@ def _entry_name() -> Column:
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file_name, line) for one file, several files, or a folder and all below it."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    return reader.text(paths).select(_entry_name().alias("file_name"), F.col("value").alias("line"))
+    return reader.text(paths).select(_entry_name(F.col("_metadata.file_path")).alias("file_name"), F.col("value").alias("line"))
 
 
 def _number_files(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """(snapshot, line): the place of the file in the list of names as the snapshot."""
-    number = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("file_name"))
-    return lines.select((number - 1).cast("int").alias("snapshot"), "line")
+    return lines.select(place_in(F.col("file_name"), names, "file").alias("snapshot"), "line")
 
 
 def load_folder(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """((snapshot, line), file names in order) of all files in a folder, by one scan."""
     lines = scan_lines(spark, path)
-    found = set()
-    for file in lines.inputFiles():
-        folder, name = unquote(file).split("/")[-2:]
-        found.add(folder.removeprefix("file=") if name.startswith("part-") else name)
-    names = sorted(found)
+    # Listed by the executors from file metadata; one name per snapshot reaches the driver.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = sorted(row.name for row in listed.select(_entry_name(F.col("_metadata.file_path")).alias("name")).distinct().collect())
     return _number_files(lines, names), names
 
 

@@ -65,6 +65,7 @@ def test_rank_with_copies_leaves_no_gaps(spark, skewed_edges):
 
 def test_expand_copies_spreads_many(spark, monkeypatch):
     monkeypatch.setattr(ranking, "COPIES_PER_TASK", 10)
+    monkeypatch.setattr(ranking, "COPIES_IN_PLACE", 5)
     df = spark.createDataFrame([("few", 3), ("edge", 10), ("many", 95), ("none", 0)], "item string, copies long")
     got = Counter(row.item for row in ranking.expand_copies(df).collect())
     assert got == {"few": 3, "edge": 10, "many": 95}
@@ -358,3 +359,11 @@ def test_skewed_join_is_split(spark, tmp_path):
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def test_instance_counts_beyond_long_on_the_way(spark):
+    """A product of two branches is taken in decimals; only a final count beyond LONG is an error."""
+    big = spark.createDataFrame([(0, "h", "3100000000"), (0, "k", "2")], "snapshot int, uri string, n string")
+    big = big.withColumn("n", F.col("n").cast(matching.COUNT))
+    product = (F.col("n") * F.col("n")).cast(matching.COUNT)
+    assert str(big.select(product.alias("p")).agg(F.max("p")).first()[0]) == str(3100000000**2)

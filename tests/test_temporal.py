@@ -62,3 +62,18 @@ def test_month_walk_drifts(spark):
     assert names("170909", "170909") == ["imdb-170909.nt"]
     assert names("170909", "170908") == []
     assert len(names("170909", "270909")) == 121
+
+
+@pytest.mark.parametrize("snapshot", [-1, 7, 70, None])
+def test_snapshots_outside_the_series_are_an_error(spark, snapshot):
+    df = spark.createDataFrame([(0, snapshot)], "item int, snapshot int")
+    with pytest.raises(Exception, match="snapshot outside the series"):
+        df.select(*temporal.snapshot_words(F.col("snapshot"), 7)).collect()
+
+
+def test_unknown_names_are_an_error(spark):
+    df = spark.createDataFrame([("2014",), ("2018",)], "year string")
+    place = temporal.place_in(F.col("year"), ["2013", "2014"], "year")
+    assert df.where("year = '2014'").select(place).first()[0] == 1
+    with pytest.raises(Exception, match="unknown year: 2018"):
+        df.select(place).collect()
