@@ -33,7 +33,7 @@ LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM
 SEGMENT = 4 << 20
-GROUP_ROWS = 1024
+GROUP_ROWS = 8192
 HOT_ROWS = 1000
 HOT_IN_TASK = 32
 HOT_KEYS = 10_000
@@ -391,18 +391,35 @@ def _sort(rows: DataFrame) -> DataFrame:
     return rows.select(*columns).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_sort_groups, COVER)
 
 
+def _bytes_of(name: str, n: Column) -> Column:
+    return F.substring(name, F.lit(1), n.cast("int"))
+
+
 def _halves(rows: DataFrame) -> DataFrame:
-    """Each anchor in the groups of the lower and the upper half of its d, told apart by all bytes these windows share."""
+    """Each anchor in the groups of the lower and the upper half of its d.
+
+    Groups (g1, g2) share the bytes that all windows of the half have in common. Anchors that
+    also agree in every byte of any of these windows have the same (u1, u2). `least` and `most` are
+    the ends of the d for which an anchor near an end of its text has a window at all.
+    """
     middle = F.floor((F.col("low") + F.col("high")) / 2)
     lower = F.struct(F.col("low").alias("low"), middle.alias("high"))
     upper = F.struct((middle + 1).alias("low"), F.col("high").alias("high"))
-    both = rows.withColumn("half", F.explode(F.array(lower, upper)))
-    low, high = F.col("half.low"), F.col("half.high")
-    fits = (F.octet_length("left") >= low) & (F.octet_length("right") >= LENGTH - high)
-    shared = [low, high, F.substring("left", F.lit(1), low.cast("int")), F.substring("right", F.lit(1), (LENGTH - high).cast("int"))]
-    return both.where(fits).select(
-        F.xxhash64(F.lit(1), *shared).alias("g1"), F.xxhash64(F.lit(2), *shared).alias("g2"),
-        low.alias("low"), high.alias("high"), "doc", "hash", "at", "left", "right",
+    # A range of one d has no upper half.
+    parts = F.filter(F.array(lower, upper), lambda part: part["low"] <= part["high"])
+    both = rows.withColumn("part", F.explode(parts)).withColumns({"low": F.col("part.low"), "high": F.col("part.high")})
+    both = both.withColumns(
+        {
+            "least": F.greatest("low", LENGTH - F.octet_length("right")),
+            "most": F.least("high", F.octet_length("left").cast("long")),
+        }
+    ).where(F.col("least") <= F.col("most"))
+    shared = ["low", "high", _bytes_of("left", F.col("low")), _bytes_of("right", LENGTH - F.col("high"))]
+    every = ["low", "high", _bytes_of("left", F.col("high")), _bytes_of("right", LENGTH - F.col("low"))]
+    return both.select(
+        *[F.xxhash64(F.lit(seed), *shared).alias(f"g{seed}") for seed in (1, 2)],
+        *[F.xxhash64(F.lit(seed), *every).alias(f"u{seed}") for seed in (1, 2)],
+        "low", "high", "least", "most", "doc", "hash", "at", "left", "right",
     )
 
 
@@ -411,23 +428,28 @@ def _place(*names: str) -> Column:
 
 
 def partial_repeats(contexts: DataFrame, most: int = GROUP_ROWS) -> list[DataFrame]:
-    """Covers among the firsts of classes, exact for groups of any size."""
-    rows = contexts.withColumns({"g1": F.col("gram"), "g2": F.lit(0).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(SPAN).cast("long")})
+    """Covers among the firsts of classes, exact for groups of any size.
+
+    A group of up to `most` rows is sorted in one task. In larger ones the d are halved; anchors
+    that agree in all bytes of a half are settled at once, so that only the first of them goes on
+    and the rows of a level do not outgrow those of the first.
+    """
+    zero = F.lit(0).cast("long")
+    rows = contexts.withColumns({"g1": F.col("gram"), "g2": zero, "low": zero, "high": F.lit(SPAN).cast("long")})
     covers = [_sort(rows.where(F.col("n") <= most))]
     rows = rows.where(F.col("n") > most)
     while not rows.isEmpty():
         halves = _halves(rows)
-        sizes = halves.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(_place("doc", "hash", "at")).alias("first"))
-        halves = stored(halves.join(sizes.where("n > 1"), ["g1", "g2"]), "suffix-halves")
-        single = F.col("low") == F.col("high")
-        later = _place("doc", "hash", "at") > F.col("first")
-        covers.append(
-            halves.where(single & later).select(
-                "doc", "hash", (F.col("at") - F.col("low")).alias("begin"), (F.col("at") - F.col("low") + LENGTH).alias("end")
-            )
-        )
-        covers.append(_sort(halves.where(~single & (F.col("n") <= most))))
-        rows = halves.where(~single & (F.col("n") > most))
+        place = _place("doc", "hash", "at")
+        firsts = halves.groupBy("u1", "u2").agg(F.min(place).alias("first"))
+        halves = stored(halves.join(firsts, ["u1", "u2"]).withColumn("later", place > F.col("first")), "suffix-halves")
+        begin, end = F.col("at") - F.col("most"), F.col("at") - F.col("least") + LENGTH
+        covers.append(halves.where("later").select("doc", "hash", begin.alias("begin"), end.alias("end")))
+        ahead = halves.where("NOT later").drop("later", "first", "u1", "u2", "least", "most")
+        sizes = ahead.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        ahead = stored(ahead.join(sizes, ["g1", "g2"]), "suffix-groups")
+        covers.append(_sort(ahead.where(F.col("n") <= most)))
+        rows = ahead.where(F.col("n") > most)
     return covers
 
 
