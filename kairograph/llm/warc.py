@@ -37,6 +37,7 @@ NO_ID = "none"
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 256 << 20
 CHUNK_BYTES = 8 << 20
+READ_TASKS = 100_000
 LEVEL = 3
 
 
@@ -299,10 +300,12 @@ def read_archives(spark: SparkSession, index: DataFrame, with_payload: bool = Tr
     """All records of the bundles that the index names, a row each; frames of a file are dealt out to tasks."""
     ship(spark)
     files = index.select("file").distinct()
-    chunks = files.mapInArrow(_chunks(chunk_bytes), "file string, at long, frames array<long>")
+    chunks = stored(files.mapInArrow(_chunks(chunk_bytes), "file string, at long, frames array<long>"), "warc-chunks")
+    # A row stands for a chunk of a file, so the rows are dealt to as many tasks, up to a bound.
+    tasks = min(max(chunks.count(), 1), READ_TASKS)
     names = ", ".join(
         f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}"
         for n, t in RECORDS.items()
         if with_payload or n != "payload"
     )
-    return chunks.repartition("file", "at").mapInArrow(_read_chunks(with_payload), names)
+    return chunks.repartition(tasks, "file", "at").mapInArrow(_read_chunks(with_payload), names)
