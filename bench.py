@@ -1,4 +1,4 @@
-"""Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], each as the median of $BENCH_REPEATS; one JSON line."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import sys
 import time
 from pathlib import Path
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +44,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -57,9 +59,12 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # start the executors
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(repeats):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(median(runs), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     scale = Path(sf_dir).name

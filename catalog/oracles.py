@@ -142,6 +142,7 @@ def _statement_rows() -> str:
         ("types", "snat", nation_uri, f"'{RDF_TYPE}'", "'http://example.org/a,b/Nation'", "TRUE"),
         ("literals", "sord", order_uri, f"'{ont}total'", f"{total} || '^^{XSD}integer'", "TRUE"),
         ("literals", "sord", order_uri, f"'{ont}total'", f"{total} || '7^^{XSD}integer'", "o_orderkey % 4 = 0"),
+        ("literals", "sord", order_uri, f"'{ont}note'", "'café 😀 😀 line' || chr(10) || 'break ' || o_orderkey", "o_orderkey % 11 = 0"),
         ("literals", "sbuy", buyer_uri, f"'{ont}Name'", "c_name || '@en'", "TRUE"),
         ("literals", "sbuy", buyer_uri, "'http://example.org/rank'", "'1'", "TRUE"),
         ("literals", "snat", nation_uri, f"'{ont}label'", "'the \"' || n_name || '\"'", "TRUE"),
@@ -243,7 +244,7 @@ s{t} AS (
 
 
 def text_of(attrs: str, edges: str, namespace: str) -> str:
-    value = "regexp_replace(regexp_replace(value, ' \\\\$', ''), '\\\\$', '')"
+    value = "replace(regexp_replace(regexp_replace(value, ' \\\\$', ''), '\\\\$', ''), chr(10), '\\n')"
     return f"""SELECT snapshot, '<{namespace}/' || vtype || '/' || uri || '> <{FOAF}/' || attr || '> "' || {value} || '" .' AS line
       FROM {attrs}
       UNION ALL SELECT snapshot, '<{namespace}/' || src_type || '/' || src_uri || '> <{FOAF}/' || rel || '> <{namespace}/'

@@ -196,6 +196,10 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         order.where(F.col("o_orderkey") % 4 == 0).select(
             "year", text(order_uri, f" {ontology}total> \"", total, f"7\"^^{xsd}integer> .").alias("line")
         ),
+        order.where(F.col("o_orderkey") % 11 == 0).select(
+            "year",
+            text(order_uri, f" {ontology}note> \"caf\\u00E9 \\U0001F600 \\uD83D\\uDE00 line\\nbreak ", _text("o_orderkey"), "\" .").alias("line"),
+        ),
         buyers.select("year", text(buyer_uri, f" {ontology}Name> \"", F.col("c_name"), "\"@en .").alias("line")),
         buyers.select("year", text(buyer_uri, " <http://example.org/rank> \"1\" .").alias("line")),
         nations.select("year", text(nation_uri, f" {ontology}label> \"the \\\"", F.col("n_name"), "\\\"\" .").alias("line")),

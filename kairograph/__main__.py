@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
-from kairograph.operators import assembly, partitioning, profile
+from kairograph.operators import assembly, filters, partitioning, profile
 from kairograph.plans import discovery, jobs
 from kairograph.session import configure
 from kairograph.sources import ntriples, statements
@@ -29,13 +29,16 @@ def discover(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, n_snapshots = ntriples.load_snapshots(spark, args.base, args.start, args.end, args.prefix)
     triples = jobs.stored_triples(ntriples.parse_triples(lines, args.types))
     graph = jobs.stored_graph(assembly.close(assembly.build_graph(triples, n_snapshots)))
-    found = discovery.discover(graph, args.k, args.theta, args.min_count)
+    chosen = {vtype: names.split(",") for vtype, _, names in (x.partition("=") for x in args.attributes)} or None
+    found = discovery.discover(graph, args.k, args.theta, args.min_count, args.top, chosen, not args.no_prune)
     found.write.parquet(args.output)
 
 
 def sample_movies(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, names = ntriples.load_folder(spark, args.input)
-    graph = jobs.sample_movie_graph(lines, len(names), args.size, seed=args.seed)
+    graph = jobs.sample_movie_graph(
+        lines, len(names), args.size, tuple(args.types), args.anchor, args.max_in, seed=args.seed
+    )
     _write(spark, jobs.graph_lines(graph), names, args.output)
 
 
@@ -64,8 +67,11 @@ def partition(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def integrate(spark: SparkSession, args: argparse.Namespace) -> None:
-    lines = jobs.integrated_lines(statements.scan_statements(spark, args.input))
-    _write(spark, lines, [f"{year}.nt" for year in statements.YEARS], args.output)
+    source = statements.scan_statement_lines(spark, args.input, args.years)
+    if args.rejected:
+        statements.rejected_lines(source).write.parquet(args.rejected)
+    parsed = jobs.write_table(statements.parse_statements(source), "statements", ["kind"])
+    _write(spark, jobs.integrated_lines(parsed, args.years), [f"{year}.nt" for year in args.years], args.output)
 
 
 def describe(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -105,18 +111,27 @@ def _parser() -> argparse.ArgumentParser:
     mine.add_argument("--prefix", default=ntriples.FILE_PREFIX)
     mine.add_argument("--types", nargs="+", default=list(rdf.IMDB_TYPES))
     mine.add_argument("--min-count", type=int, default=profile.MIN_EDGE_COUNT)
+    mine.add_argument("--top", type=int, default=profile.TOP, help="most frequent types and edge types that patterns use")
+    mine.add_argument("--no-prune", action="store_true", help="all patterns of a level, in any order of growth")
+    mine.add_argument("--attributes", nargs="*", default=[], metavar="TYPE=NAME,NAME")
     for function in (sample_movies, sample_encyclopedia):
         sample = command(function, "input", "output")
         sample.add_argument("size", type=int)
         sample.add_argument("--seed", default="")
         if function is sample_encyclopedia:
             sample.add_argument("max_degree", type=int)
+        else:
+            sample.add_argument("--types", nargs="+", default=list(rdf.IMDB_TYPES))
+            sample.add_argument("--anchor", default="movie")
+            sample.add_argument("--max-in", type=int, default=filters.MAX_ANCHOR_IN_DEGREE)
     cut = command(partition, "input", "output")
     cut.add_argument("--by", choices=["vertex-type", "edge-label", "anchor", "grid"], required=True)
     cut.add_argument("--parts", type=int, default=partitioning.PARTS)
     cut.add_argument("--anchor", default="movie")
     cut.add_argument("--namespace", choices=sorted(NAMESPACES), default="imdb")
-    command(integrate, "input", "output")
+    joined = command(integrate, "input", "output")
+    joined.add_argument("--years", nargs="+", default=list(statements.YEARS))
+    joined.add_argument("--rejected", help="folder for the number of lines of each file that are no statement")
     about = command(describe, "input", "output")
     about.add_argument("--anchor", default="movie")
     about.add_argument("--namespace", choices=sorted(NAMESPACES), default="imdb")

@@ -141,8 +141,10 @@ def _predicate_text(name: Column) -> Column:
 
 
 def attribute_line(namespace: str, vtype: Column, uri: Column, attr: Column, value: Column) -> Column:
+    """A value that holds line breaks stays on one line, with the breaks escaped."""
     subject = uri_text(namespace, vtype, uri)
-    return F.concat(subject, F.lit(" "), _predicate_text(attr), F.lit(' "'), value, F.lit('" .'))
+    whole = F.replace(F.replace(value, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.concat(subject, F.lit(" "), _predicate_text(attr), F.lit(' "'), whole, F.lit('" .'))
 
 
 def edge_line(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from kairograph.operators.rdf_graph import integrate_rdf, shorten_uris
 from kairograph.operators.sampling import stable_sample_edges
 from kairograph.plans.storage import write_table
 from kairograph.sources.ntriples import format_attributes, format_edges, parse_triples
+from kairograph.sources.statements import YEARS
 
 
 def stored_triples(triples: DataFrame) -> DataFrame:
@@ -89,8 +91,8 @@ def name_parts(lines: DataFrame, file_of_snapshot: DataFrame) -> DataFrame:
     return named.select(rdf.part_file_name(F.col("file_name"), F.col("part")).alias("file"), "line")
 
 
-def integrated_lines(statements: DataFrame) -> DataFrame:
+def integrated_lines(statements: DataFrame, years: Sequence[str] = YEARS) -> DataFrame:
     """(snapshot, line): the connected typed resources of every year."""
-    attributes, edges = shorten_uris(connected_graph(integrate_rdf(statements)))
+    attributes, edges = shorten_uris(connected_graph(integrate_rdf(statements, years)))
     lines = format_attributes(attributes, rdf.DBPEDIA_NAMESPACE, clean=False)
     return lines.unionByName(format_edges(edges, rdf.DBPEDIA_NAMESPACE))

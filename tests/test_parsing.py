@@ -155,3 +155,33 @@ def test_format_and_parse_round_trip(spark):
 def test_statements(spark, line, expected):
     rows = parse_statements(spark.createDataFrame([(line,)], "line string")).collect()
     assert [tuple(r) for r in rows] == ([expected] if expected else [])
+
+
+def test_escapes_of_statements(spark):
+    """Numbers, surrogate pairs and short escapes are decoded once; what is no character stays."""
+    from kairograph.sources.statements import parse_statements, rejected_lines
+
+    bs = chr(92)
+    cases = {
+        f"caf{bs}u00E9": "caf\xe9",
+        f"{bs}U0001F600 {bs}uD83D{bs}uDE00": "\U0001f600 \U0001f600",
+        f"a{bs}tb{bs}nc{bs}r{bs}\"{bs}{bs}n": f'a\tb\nc\r"{bs}n',
+        f"{bs}{bs}u0041": f"{bs}u0041",
+        f"{bs}uD83D alone": f"{bs}uD83D alone",
+        f"{bs}U00110000": f"{bs}U00110000",
+        chr(1) + "held": chr(1) + "held",
+        f"{bs}u0041{bs}u0042C": "ABC",
+    }
+    lines = [(f'<http://a/{i}> <http://p> "{text}" .',) for i, text in enumerate(cases)]
+    lines += [(f"<http://a/{bs}u0041> <http://p> <http://{bs}u00E9> .",), ("@prefix x: <http://x> .",), ("# note",), ("",)]
+    frame = spark.createDataFrame(lines, "line string")
+    found = {row.subject: row.object for row in parse_statements(frame).collect()}
+    assert found == {f"http://a/{i}": text for i, text in enumerate(cases.values())} | {"http://a/A": "http://\xe9"}
+    assert rejected_lines(frame.selectExpr("'f' AS file", "line")).collect() == [("f", 1)]
+
+
+def test_line_breaks_stay_on_one_line(spark):
+    from kairograph.sources.ntriples import format_attributes
+
+    rows = spark.createDataFrame([(0, "t", "u", "a", "x\ny\rz")], "snapshot int, vtype string, uri string, attr string, value string")
+    assert format_attributes(rows).first().line.endswith('"x\\ny\\rz" .')
