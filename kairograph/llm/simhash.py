@@ -184,14 +184,8 @@ def links(distinct: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """Every row with number, doc, fp (long), root and component: the smallest key that links of up to 3 bits reach (and `row`).
-
-    Texts are compared by word shingles without case of A-Z; null and blank texts have fingerprint
-    zero, which is linked like any other. Equal fingerprints are one node, so copies cost nothing.
-    A component of null keys only is null; null keys are otherwise ignored. `root` tells components
-    apart, `number` tells rows apart. Empty in, empty out.
-    """
+def _rows_and_classes(docs: DataFrame, key: str, text: str, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (number, doc, fp and `row`), and root and component of each fingerprint."""
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text"), *whole)
     rows = fingerprints(texts, "_text", "fp").drop("_text").withColumn("number", F.monotonically_increasing_id())
@@ -201,15 +195,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     placed = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     placed = stored(placed, "simhash-nodes")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(placed.join(smallest, "root").select("fp", "root", "component"), "fp")
+    return rows, placed.join(smallest, "root").select("fp", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Every row with number, doc, fp (long), root and component: the smallest key that links of up to 3 bits reach (and `row`).
+
+    Texts are compared by word shingles without case of A-Z; null and blank texts have fingerprint
+    zero, which is linked like any other. Equal fingerprints are one node, so copies cost nothing.
+    A component of null keys only is null; null keys are otherwise ignored. `root` tells components
+    apart, `number` tells rows apart. Empty in, empty out.
+    """
+    rows, classes = _rows_and_classes(docs, key, text, carry)
+    return rows.join(classes, "fp")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest key stays.
 
-    Null keys come last; of rows with the same key the first stays.
+    Null keys come last; of rows with the same key the first stays. Whole rows are exchanged once,
+    when those that stay are picked.
     """
-    found = near_duplicates(docs, key, text, carry=True)
+    rows, classes = _rows_and_classes(docs, key, text, carry=True)
     order = F.struct(F.col("doc").isNull().alias("no_key"), "doc", "number")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.number").alias("number"))
-    return found.join(first, "number", "left_semi").select("row.*")
+    first = rows.select("fp", "doc", "number").join(classes, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")
