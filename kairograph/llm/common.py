@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from kairograph.plans.storage import new_path
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+LONG_RUN = 1 << 20
+BETWEEN_WORDS = regex.compile(r"(?<=\p{L})(?= \p{L})")
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
@@ -81,19 +84,25 @@ class BytePairs:
         self.special_pattern = regex.compile(f"({any_special})") if any_special else None
 
     def runs(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """The text as ordinary runs (number None) and special strings with their number."""
+        """The text as ordinary runs (number None) and special strings with their number.
+
+        A very long run is cut between two words, where a pre-token always ends.
+        """
         if self.special_pattern is None or not any(x in text for x in self.special):
-            yield text, None
-            return
-        for run in self.special_pattern.split(text):
-            if run:
-                yield run, self.special.get(run)
-
-    def ids(self, text: str) -> list[int]:
-        found: list[int] = []
-        for run, number in self.runs(text):
-            found += self.encoder.encode_ordinary(run) if number is None else [number]
-        return found
+            runs = [text]
+        else:
+            runs = [run for run in self.special_pattern.split(text) if run]
+        for run in runs:
+            at = 0
+            while len(run) - at > LONG_RUN and (cut := BETWEEN_WORDS.search(run, at + LONG_RUN)):
+                yield run[at : cut.start()], None
+                at = cut.start()
+            yield run[at:] if at else run, self.special.get(run)
+
+    def ids(self, text: str) -> np.ndarray:
+        encode = self.encoder.encode_ordinary
+        parts = [np.array(encode(run) if number is None else [number], "<u4") for run, number in self.runs(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def _byte_letters() -> dict[str, int]:

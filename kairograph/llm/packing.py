@@ -141,7 +141,7 @@ def pack(
             out_type = batch.schema.field(0).type
             whole: list[list[Piece]] = []
             for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*pairs.ids(value.as_py()), end_id], dtype="<u4")
+                ids = np.append(pairs.ids(value.as_py()), np.array([end_id], "<u4"))
                 piece = Piece(number, 0, ids, doc_id.as_py(), len(ids))
                 number += 1
                 while len(piece.ids) > limit:

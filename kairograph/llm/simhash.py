@@ -21,6 +21,7 @@ SEED = 42
 DISTANCE = 3
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
 BLOCKS = 5
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BUCKET_ROWS = 512
 CHUNK = 1 << 14
 # With so few open bits a bucket of distinct fingerprints is small and is not split further.
@@ -29,24 +30,27 @@ FEW_BITS = 12
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The 64-bit SimHash of the word shingles of a text; 0 without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    data = np.frombuffer((text or "").encode().lower(), np.uint8)
+    space = np.concatenate([[True], IS_SPACE[data], [True]])
+    first = np.flatnonzero(space[:-2] & ~space[1:-1])
+    if not len(first):
         return 0
-    line = b" ".join(words)
-    if len(words) <= size:
-        ends, starts = [len(line)], [0]
-    else:
-        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *stops[: len(words) - size].tolist()]
-        ends = (stops[size - 1 :] - 1).tolist()
+    lengths = np.flatnonzero(space[2:] & ~space[1:-1]) + 1 - first
+    # The words with one blank between them, in which every shingle is a slice.
+    data, keep = data.copy(), ~space[1:-1]
+    data[first[1:] - 1], keep[first[1:] - 1] = 32, True
+    line = data[keep].tobytes()
+    stops = np.cumsum(lengths + 1)
+    n = max(1, len(first) - size + 1)
+    starts, ends = (stops - lengths - 1)[:n], (stops - 1)[-n:]
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(starts), CHUNK):
-        part = zip(starts[i : i + CHUNK], ends[i : i + CHUNK], strict=True)
+    for i in range(0, n, CHUNK):
+        part = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
         hashes = np.array([digest(line[a:b], SEED) for a, b in part], dtype="<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:

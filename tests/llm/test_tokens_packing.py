@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from kairograph.llm import common
 from kairograph.llm.common import byte_pairs, default_tokenizer
 from kairograph.llm.packing import Piece, balance, pack, powers_of_two
 from kairograph.llm.tokens import count_tokens
@@ -26,10 +27,18 @@ def ids_of(library, text):
 def test_ids_agree_with_the_library(text):
     library = test_ids_agree_with_the_library.__dict__.setdefault("library", Tokenizer.from_file(default_tokenizer()))
     pairs = byte_pairs(default_tokenizer())
-    assert pairs.ids(text) == ids_of(library, text)
+    assert pairs.ids(text).tolist() == ids_of(library, text)
     assert sum(len(pairs.encoder.encode_ordinary(p)) for p in pairs.pre_token.findall(text)) == len(ids_of(library, text))
 
 
+def test_long_runs_are_cut_where_pre_tokens_end(library, monkeypatch):
+    monkeypatch.setattr(common, "LONG_RUN", 20)
+    text = "It's a  test,<|endoftext|> don't  stop \n now Über 123 go on" * 5 + "x" * 90 + " end of it all"
+    pairs = byte_pairs(default_tokenizer())
+    assert len(list(pairs.runs(text))) > 10
+    assert pairs.ids(text).tolist() == ids_of(library, text)
+
+
 def test_counts_of_hard_rows(documents, hard_rows, library):
     docs = documents(hard_rows).withColumnRenamed("lang", "n_tokens")
     found = Counter((r.doc_id, r.text, r.n_tokens) for r in count_tokens(docs, default_tokenizer(), sample_rows=3, cached=10).collect())
