@@ -74,9 +74,10 @@ def histogram(keys: DataFrame, most: int) -> tuple[np.ndarray, pd.DataFrame]:
         heavy = counts[(counts.bytes > most) & (counts.low < counts.high)]
         if heavy.empty:
             return bounds, counts
+        # One row per heavy cell, and there are fewer cells than twice the parts.
         wanted = keys.sparkSession.createDataFrame([(int(c),) for c in heavy.cell], "cell long")
         probes = (
-            placed.join(wanted, "cell", "left_semi")
+            placed.join(F.broadcast(wanted), "cell", "left_semi")
             .groupBy("cell")
             .agg(F.percentile_approx("key", quantiles, 200).alias("q"), F.max_by("key", "bytes").alias("largest"))
             .collect()
