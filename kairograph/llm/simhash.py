@@ -8,20 +8,19 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairograph.llm import jaccard
 from kairograph.llm.common import ship, stored
 from kairograph.llm.components import components
+from kairograph.llm.shingles import hashed_shingles
 
 BITS = 64
 SHINGLE = 3
-SEED = 42
 DISTANCE = 3
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
 BLOCKS = 5
-IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 BUCKET_ROWS = 512
 CHUNK = 1 << 14
 # With so few open bits a bucket of distinct fingerprints is small and is not split further.
@@ -30,26 +29,11 @@ FEW_BITS = 12
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The 64-bit SimHash of the word shingles of a text; 0 without words."""
-    data = np.frombuffer((text or "").encode().lower(), np.uint8)
-    space = np.concatenate([[True], IS_SPACE[data], [True]])
-    first = np.flatnonzero(space[:-2] & ~space[1:-1])
-    if not len(first):
-        return 0
-    lengths = np.flatnonzero(space[2:] & ~space[1:-1]) + 1 - first
-    # The words with one blank between them, in which every shingle is a slice.
-    data, keep = data.copy(), ~space[1:-1]
-    data[first[1:] - 1], keep[first[1:] - 1] = 32, True
-    line = data[keep].tobytes()
-    stops = np.cumsum(lengths + 1)
-    n = max(1, len(first) - size + 1)
-    starts, ends = (stops - lengths - 1)[:n], (stops - 1)[-n:]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, n, CHUNK):
-        part = zip(starts[i : i + CHUNK].tolist(), ends[i : i + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(line[a:b], SEED) for a, b in part], dtype="<u8")
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in hashed_shingles(text, size, CHUNK):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -214,13 +198,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     return rows.join(classes, "fp")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest key stays.
 
-    Null keys come last; of rows with the same key the first stays. Whole rows are exchanged once,
-    when those that stay are picked.
+    Texts are linked by fingerprints within `DISTANCE`, of shingles of three words; or, with a similarity,
+    where the Jaccard similarity of their sets of shingles is at least that. Null keys come last; of rows
+    with the same key the first stays. Whole rows are exchanged once, when those that stay are picked.
     """
-    rows, classes = _rows_and_classes(docs, key, text, carry=True)
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError(f"fingerprints are of shingles of {SHINGLE} words")
+        rows, classes = _rows_and_classes(docs, key, text, carry=True)
+        node = "fp"
+    else:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = jaccard.describe(docs.select(F.col(key).alias("doc"), whole), f"row.`{text}`", shingle)
+        rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "shingled")
+        classes = jaccard.classes(rows, f"row.`{text}`", shingle, similarity)
+        rows, node = rows.withColumn("node", F.col("kind.node")), "node"
     order = F.struct(F.col("doc").isNull().alias("no_key"), "doc", "number")
-    first = rows.select("fp", "doc", "number").join(classes, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = rows.select(node, "doc", "number").join(classes, node).groupBy("root").agg(F.min(order).alias("first"))
     return rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")
