@@ -91,10 +91,15 @@ def histogram(keys: DataFrame, most: int) -> tuple[np.ndarray, pd.DataFrame]:
         bounds = np.unique(np.concatenate([bounds, np.array(sorted(k for k in new if k < 1 << 63), dtype=np.int64)]))
 
 
+def tolerance(keys: DataFrame, shards: int) -> int:
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    return max(1, min(total // (shards * PARTS_PER_SHARD), PART_BYTES))
+
+
 def find_splitters(keys: DataFrame, shards: int) -> Splitters:
     """Exact counts of bytes below candidate bounds, refined until each part is within the tolerance."""
     total = keys.agg(F.sum("bytes")).first()[0] or 0
-    most = max(1, min(total // (shards * PARTS_PER_SHARD), PART_BYTES))
+    most = tolerance(keys, shards)
     bounds, counts = histogram(keys, most)
     cells = len(bounds) + 1
     cut = np.ones(cells, dtype=np.int64)
@@ -144,18 +149,28 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     and a group of them is cut by the second key only where it is larger than the tolerance of a
     64th of a shard. Shards differ by about that or by their largest document. The size of a row is
     its UTF-8 bytes and `ROW_BYTES`; null texts have none. Texts are exchanged once, in parts of at
-    most `PART_BYTES` unless one document is longer. Rows that repeat entirely stay together, null
-    ids are sorted like any id, an empty table gives an empty result.
+    most `PART_BYTES` unless one document is longer. Rows of one id and text that are heavier than the
+    tolerance get a stored number in their second key, by which they are cut as well. Null ids are sorted like any id, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     second = F.xxhash64(F.lit(2), F.col(key), text_or_empty(text))
     size = (F.octet_length(text_or_empty(text)) + F.lit(ROW_BYTES)).cast("long")
     keys = stored(docs.select(_sort_key(text).alias("key"), second.alias("second"), size.alias("bytes")), "shard-keys")
-    splitters = find_splitters(keys, shards)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _sort_key(text).alias("key"), second.alias("second")
     )
+    heavy = keys.groupBy("key", "second").agg(F.sum("bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"))
+    heavy = stored(heavy.where(F.col("n") > 1).where(F.col("n_bytes") > tolerance(keys, shards)).select("key", "second"), "repeated-rows")
+    if not heavy.isEmpty():
+        # Fewer than there are parts. The number is stored, so that counts and rows agree.
+        marked = rows.join(F.broadcast(heavy.withColumn("repeated", F.lit(True))), ["key", "second"], "left")
+        salted = F.xxhash64("second", F.monotonically_increasing_id())
+        number = F.when(F.col("repeated"), salted).otherwise(F.col("second"))
+        rows = stored(marked.select("row", "key", number.alias("second")), "numbered-rows")
+        size = (F.octet_length(text_or_empty(f"row.`{text}`")) + F.lit(ROW_BYTES)).cast("long")
+        keys = rows.select("key", "second", size.alias("bytes"))
+    splitters = find_splitters(keys, shards)
     placed = with_parts(rows, splitters)
     within = Window.partitionBy("part").orderBy("key", "second")
     return placed.select("row", "key", "second", "place.*").select(

@@ -57,3 +57,16 @@ def test_files(spark, documents, tmp_path):
 
 def test_checksum_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit("ä").cast("binary"))).first()[0] == zlib.crc32("ä".encode())
+
+
+def test_a_third_are_one_row(documents):
+    """Rows that repeat entirely are cut like other copies."""
+    rows = [(7, "copy " * 50, "a") if i % 3 == 0 else (i, f"{i} " * (i % 50), "a") for i in range(6000)]
+    placed = check(rows, shard(documents(rows), 24).collect(), 24)
+    holding = {s for s, m in placed.items() if any(r.row.text.startswith("copy") for r in m)}
+    assert max(holding) - min(holding) + 1 == len(holding) > 4
+
+
+def test_fifty_equal_rows_are_balanced(documents):
+    rows = [(1, "a", "a")] * 50
+    check(rows, shard(documents(rows), 5).collect(), 5)
