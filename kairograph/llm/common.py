@@ -6,6 +6,7 @@ import json
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -51,6 +52,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that wrote them has ended, and not when the driver happens to collect garbage."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+class Scratch:
+    """Tables of one run of an operator in a folder of its own in the shared folder; `close` removes what the result does not read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_path(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{name}"
+        with freed_shuffles(self.spark):
+            writer = df.write.mode("errorifexists").option("compression", "zstd")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        found.path = path
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        for found in tables:
+            self._remove(found.path)
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written beside the folder and read back; the folder goes."""
+        with freed_shuffles(self.spark):
+            found = stored(df, name)
+        self._remove(self.folder)
+        return found
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys and the seed alone."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
