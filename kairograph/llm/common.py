@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import regex
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """From now on shuffle files go as soon as the query that wrote them has ended."""
+    spark.conf.set(FREE_SHUFFLES, "true")
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go as soon as the query that wrote them has ended, and not when the driver happens to collect garbage."""
@@ -99,6 +105,20 @@ class Scratch:
         return found
 
 
+def addressed(docs: DataFrame) -> DataFrame:
+    """`row` (all columns) and `address`, which tells rows apart and stays the same in every scan.
+
+    Rows read from files have their place there, so that nothing is copied; others are stored.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(whole, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("address"))
+    except AnalysisException:
+        address = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("address")
+        return stored(docs.select(whole, address), "rows")
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys and the seed alone."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import stored
+from kairograph.llm.common import Scratch, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
     """node, root of every node with an edge (u, v): the least node that it is connected with.
 
     Each round joins a table of one row per node, so a node with very many edges is only a skewed
     side that adaptive execution splits. A chain of n nodes takes about log n rounds.
+    The tables of the rounds are among those of `run`, if given.
     """
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    kept = run.stored if run else stored
+    edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
@@ -42,4 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = state
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = kept(_small_star(_large_star(edges)), "edges")

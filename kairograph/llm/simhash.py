@@ -23,6 +23,7 @@ PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
 BLOCKS = 5
 BUCKET_ROWS = 512
 CHUNK = 1 << 14
+BROADCAST_ROWS = 500_000
 # With so few open bits a bucket of distinct fingerprints is small and is not split further.
 FEW_BITS = 12
 
@@ -205,19 +206,16 @@ def one_of_each(
 
     Texts are linked by fingerprints within `DISTANCE`, of shingles of three words; or, with a similarity,
     where the Jaccard similarity of their sets of shingles is at least that. Null keys come last; of rows
-    with the same key the first stays. Whole rows are exchanged once, when those that stay are picked.
+    with the same key the first stays.
     """
-    if similarity is None:
-        if shingle != SHINGLE:
-            raise ValueError(f"fingerprints are of shingles of {SHINGLE} words")
-        rows, classes = _rows_and_classes(docs, key, text, carry=True)
-        node = "fp"
-    else:
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        rows = jaccard.describe(docs.select(F.col(key).alias("doc"), whole), f"row.`{text}`", shingle)
-        rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "shingled")
-        classes = jaccard.classes(rows, f"row.`{text}`", shingle, similarity)
-        rows, node = rows.withColumn("node", F.col("kind.node")), "node"
+    if similarity is not None:
+        rows, gone = jaccard.removed(docs, key, text, shingle, similarity)
+        # Up to so many addresses are sent to every executor, and no row is exchanged.
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        return rows.join(gone, "address", "left_anti").select("row.*")
+    if shingle != SHINGLE:
+        raise ValueError(f"fingerprints are of shingles of {SHINGLE} words")
+    rows, classes = _rows_and_classes(docs, key, text, carry=True)
     order = F.struct(F.col("doc").isNull().alias("no_key"), "doc", "number")
-    first = rows.select(node, "doc", "number").join(classes, node).groupBy("root").agg(F.min(order).alias("first"))
+    first = rows.select("fp", "doc", "number").join(classes, "fp").groupBy("root").agg(F.min(order).alias("first"))
     return rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")

@@ -79,7 +79,7 @@ def test_prefixes_and_cells_lose_no_pair():
         if rng.random() < 0.7:
             b = np.sort(np.concatenate([a[rng.integers(0, 2) :], pool[-rng.integers(0, 2) or 60 :]]))
             b = np.unique(b)
-        common = rng.choice(pool, 20)
+        common = jaccard.Common(rng.choice(pool, 20, replace=False))
         if jaccard.similar(a, b, least):
             assert np.intersect1d(jaccard.prefix(a, common, least), jaccard.prefix(b, common, least)).size
             cells = [np.bincount(x >> np.uint64(58), minlength=64).astype(np.uint8)[None] for x in (a, b)]
@@ -93,9 +93,50 @@ def test_buckets_that_batches_cut():
     token = np.sort(rng.integers(0, 40, 300))
     cuts = [0, 1, 2, 50, 51, 120, 121, 122, 300]
     batches = [pa.RecordBatch.from_arrays([pa.array(token[a:b])] * 2, names=["a", "b"]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    found = list(jaccard._whole_buckets(iter(batches)))
+    found = list(jaccard._whole_blocks(iter(batches)))
     assert np.concatenate([f[0] for f in found]).tolist() == token.tolist()
-    assert all(a[0, -1] != b[0, 0] for a, b in zip(found, found[1:], strict=False))
+    assert all(a[0][-1] != b[0][0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_shared_tokens_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 400):
+        rows = np.sort(rng.integers(0, 60, n) * 10 + rng.integers(0, 3, n))
+        token, node = rows // 10, rows % 10
+        cuts = [0, *sorted(rng.integers(0, n + 1, 12).tolist()), n]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in (token, node, node * 7)], names=list("abc")) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = [r for batch in jaccard._shared(iter(parts)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        distinct = set(zip(token.tolist(), node.tolist(), strict=True))
+        want = {(t, x) for t, x in distinct if any((t, y) in distinct for y in range(10) if y != x)}
+        assert len(got) == len(set(got)) and {r[:2] for r in got} == want and all(r[2] == 7 * r[1] for r in got)
+
+
+def test_large_buckets_in_blocks(documents, monkeypatch):
+    """Very many texts of one common passage and few own words share buckets; all rounds are the last one, in blocks of eight."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ROUNDS", ((1, None),))
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage[: int(rng.integers(30, 60))] + [f"own{i % 40}x{j}" for j in range(int(rng.integers(0, 14)))]), "a") for i in range(150)]
+    assert len(check(rows, documents(rows))) > 500
+
+
+def test_one_line_in_most_texts(documents):
+    """As in a table where one line ends most texts: its shingles are in nearly all buckets, and nobody is near."""
+    line = " this one line stands at the very end of all of these many texts and nobody takes it away"
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(12 + i % 5)) + line, "b") for i in range(700)]
+    rows += [(1000 + i, " ".join(f"t{i}w{j}" for j in range(12 + i % 5)) + " more" + line, "b") for i in range(0, 700, 50)]
+    check(rows, documents(rows))
+    check([(i, "a few" + line, "c") for i in range(3)] + rows[:60], documents([(i, "a few" + line, "c") for i in range(3)] + rows[:60]))
+
+
+def test_rows_of_files_and_repeated_rows(spark, documents, tmp_path):
+    """Read from files, rows are addressed in place; equal rows are told apart."""
+    rows = planted(5, 4, 60, 3, 9) + [(7, None, "a"), (7, None, "a"), (None, "", "a")]
+    documents(rows + rows).repartition(7).write.parquet(str(tmp_path / "docs"))
+    check(rows + rows, spark.read.parquet(str(tmp_path / "docs")))
 
 
 def test_stage_of_the_pipeline(spark, sf_dir):

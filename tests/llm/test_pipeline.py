@@ -10,9 +10,10 @@ import corpus_pipeline
 from kairograph.llm import quality
 from kairograph.llm.common import default_tokenizer
 from tests.llm.test_exact import plain
+from tests.llm.test_jaccard import plain_shingles, similar
 from tests.llm.test_mixing import goals, words
 from tests.llm.test_quality import gumbel
-from tests.llm.test_simhash import brute, plain_fingerprint
+from tests.llm.test_simhash import roots
 from tests.llm.test_tokens_packing import check_packing
 
 
@@ -74,7 +75,9 @@ def test_exact(stages):
 def test_near(stages):
     rows = rows_of(stages[2])
     groups = defaultdict(list)
-    for root, row in zip(brute([plain_fingerprint(t) for _, t, _ in rows]), rows, strict=True):
+    sets = [plain_shingles(t) for _, t, _ in rows]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])]
+    for root, row in zip(roots(len(rows), pairs), rows, strict=True):
         groups[root].append((row[0] is None, row[0] or 0, row))
     assert len(groups) < len(rows)
     assert Counter(rows_of(stages[3])) == Counter(min(g, key=lambda r: r[:2])[2] for g in groups.values())
