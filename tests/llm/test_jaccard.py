@@ -84,6 +84,8 @@ def test_prefixes_and_cells_lose_no_pair():
             assert np.intersect1d(jaccard.prefix(a, common, least), jaccard.prefix(b, common, least)).size
             cells = [np.bincount(x >> np.uint64(58), minlength=64).astype(np.uint8)[None] for x in (a, b)]
             assert jaccard.near_enough(*cells, np.array([len(a) + len(b)]), least).all()
+            for n, m in ((64, 64), (64, 256), (1024, 128)):
+                assert jaccard.fine_enough(jaccard._cells(a, n).tobytes(), jaccard._cells(b, m).tobytes(), len(a) + len(b), least)
 
 
 def test_buckets_that_batches_cut():
@@ -151,3 +153,13 @@ def test_stage_of_the_pipeline(spark, sf_dir):
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect()}
     assert kept == set(least.values())
     assert not {145, 177} & kept
+
+
+def test_fine_cells_follow_the_size():
+    """Unrelated long texts, which 64 cells cannot tell apart, do not reach the comparison of texts."""
+    rng, least = np.random.default_rng(8), Fraction(4, 5)
+    one, two = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 6000)) for _ in range(2))
+    a, b = (jaccard.described(t, 5, 0) for t in (one, two))
+    assert len(a[3]) == 64 and len(a[4]) == 4096
+    assert jaccard.fine_enough(a[3], b[3], a[2] + b[2], least) and not jaccard.fine_enough(a[4], b[4], a[2] + b[2], least)
+    assert jaccard.fine_enough(a[4], jaccard.described(one + " more", 5, 0)[4], a[2] * 2 + 1, least)
