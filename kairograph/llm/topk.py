@@ -27,6 +27,11 @@ BLOCKS_PER_GROUP = 16
 FOCUS = 4
 STEEP = 0.8
 SLACK = 1e-9
+# Sums of products stay exact in doubles while the lengths multiply to less than this.
+EXACT = float(1 << 52)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+# Bytes of a product that is no LONG, as a number that sorts like it.
+WIDE = 160
 
 
 def prepared(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -34,8 +39,10 @@ def prepared(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFra
     absolute = lambda v: F.abs(v.cast("double"))
     x = F.col(vector)
     # Null makes the whole condition null; NaN is above infinity in Spark's order.
-    finite = F.forall(x, lambda v: absolute(v) < float("inf"))
-    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double"))
+    finite = F.forall(x, lambda v: absolute(v) * abs(scale) < float("inf"))
+    # From 2^52 on every double is whole.
+    scaled = lambda v: v.cast("double") * scale
+    whole = F.transform(x, lambda v: F.when(F.abs(scaled(v)) < EXACT, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
     rows = vectors.where(F.col(key).isNotNull() & x.isNotNull()).where(finite).select(F.col(key).alias("key"), whole.alias("numbers"))
     square = F.aggregate("numbers", F.lit(0.0), lambda total, v: total + v * v)
     return stored(rows.withColumn("length", F.sqrt(square)), "vectors")
@@ -112,17 +119,35 @@ def bucket_top(
             unit = numbers / np.maximum(lengths, 1e-300)[:, None]
         n = prefix[i]
         rows = coordinate_survivors(unit[:n], query_numbers[i] / query_lengths[i], local[i] * (1 - SLACK))
-        found[i] = _best(keys[rows], numbers[rows] @ query_numbers[i], query_keys[i], floor[i], k)
+        found[i] = _best(keys[rows], _products(numbers[rows], query_numbers[i], lengths[0] * query_lengths[i]), query_keys[i], floor[i], k)
+    by_length, long = [i for i in by_length if lengths[0] * query_lengths[i] < EXACT], [i for i in by_length if lengths[0] * query_lengths[i] >= EXACT]
     if by_length:
         n = int(prefix[by_length].max())
         products = query_numbers[by_length] @ numbers[:n].T
         for row, i in enumerate(by_length):
             found[i] = _best(keys[: prefix[i]], products[row, : prefix[i]], query_keys[i], floor[i], k)
+    for i in long:
+        n = int(prefix[i])
+        found[i] = _best(keys[:n], _products(numbers[:n], query_numbers[i], np.inf), query_keys[i], floor[i], k)
     return found
 
 
+def _products(numbers: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
+    """Products of the rows with a query, as doubles where these are exact, and as integers of any size where not."""
+    if bound < EXACT:
+        return numbers @ query
+    whole = [int(x) for x in query]
+    out = np.empty(len(numbers), dtype=object)
+    for i, row in enumerate(numbers.tolist()):
+        out[i] = sum(int(x) * y for x, y in zip(row, whole, strict=True))
+    return out
+
+
 def _best(keys: np.ndarray, products: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.flatnonzero((products >= floor) & (keys != own))
+    if products.dtype == object:
+        rows = np.array(sorted(rows.tolist(), key=lambda i: (-products[i], keys[i]))[:k], np.int64)
+        return keys[rows], products[rows]
     if len(rows) > k:
         bar = np.partition(products[rows], len(rows) - k)[len(rows) - k]
         rows = rows[products[rows] >= bar]
@@ -140,17 +165,19 @@ def _unpacked(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _search(k: int, width: int):
     def run(_, buckets: pa.Table, blocks: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for bucket in buckets.to_pylist():
             vectors = _unpacked(bucket, width)
             for block in blocks.to_pylist():
                 queries = _unpacked(block, width)
                 for query, (keys, products) in zip(queries[0], bucket_top(queries, vectors, np.frombuffer(block["floors"]), k), strict=True):
-                    out[0].append(np.full(len(keys), query))
-                    out[1].append(keys)
-                    out[2].append(products)
-        merged = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query", "key", "score"), merged, strict=True)})
+                    out[0] += [int(query)] * len(keys)
+                    out[1] += keys.tolist()
+                    whole = [int(x) for x in products.tolist()]
+                    out[2] += [min(max(x, LEAST), MOST) for x in whole]
+                    out[3] += [None if LEAST < x < MOST else (x + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big") for x in whole]
+        kinds = (("query", pa.int64()), ("key", pa.int64()), ("score", pa.int64()), ("wide", pa.binary()))
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, out, strict=True)})
 
     return run
 
@@ -162,12 +189,12 @@ def _matched(pairs: DataFrame, buckets: DataFrame, blocks: DataFrame, k: int, wi
     left = wanted.select("group", "part", "batch").distinct().join(buckets, ["group", "part"])
     right = own.join(blocks.withColumnRenamed("group", "block").drop("part", "longest"), "block")
     searched = left.groupBy("group", "part", "batch").cogroup(right.groupBy("to_group", "to_part", "to_batch"))
-    return searched.applyInArrow(_search(k, width), "query long, key long, score long")
+    return searched.applyInArrow(_search(k, width), "query long, key long, score long, wide binary")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
     """query, rank, key, score of the best k; partial top-k lists are cut before the exchange."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("wide"), "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -199,8 +226,9 @@ def exact_top(
     Numbers are floor(scale * x); ties go to the smaller key. Vectors without a key, null ones and
     those with a null or non-finite number take no part. Shorter vectors are filled with zeros. Rows
     with the query's key are its own; other keys that repeat are candidates each for itself, and a
-    query key that repeats is answered once, for its least vector. Numbers too large for exact
-    products are an error. Buckets of equal length are dealt out by a hash, so many equal vectors are
+    query key that repeats is answered once, for its least vector. Products of long vectors, which doubles
+    cannot hold, are taken in integers of any size; a score outside LONG is given as the nearest LONG, and
+    ranked by what it is. Numbers are up to 1e150. Buckets of equal length are dealt out by a hash, so many equal vectors are
     only more buckets. An empty table, and one without queries, give an empty result.
     """
     ship(vectors.sparkSession)
@@ -216,8 +244,6 @@ def exact_top(
     n_queries = queries.count()
     if not size["n"] or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query long, rank int, key long, score long")
-    if size["longest"] ** 2 >= 2**52:
-        raise ValueError("vectors are too long for exact products in double precision")
     width = max(size["width"], 1)
     limits = sorted(set(size["limits"]), reverse=True)
     level = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x > F.col("length")))
@@ -239,7 +265,10 @@ def exact_top(
     kth = top(began, k).where(F.col("rank") == k)
     # A query that has k products in the first bucket needs at least the k-th of them.
     of_block = F.pmod(F.xxhash64("query", F.lit(4)), F.lit(n_blocks)).alias("block")
-    least = kth.select("query", of_block, F.col("score").cast("double").alias("floor"))
+    kth_score = F.col("score").cast("double")
+    # A double beyond 2^52 may lie above its LONG, and the least LONG may stand for less.
+    floor = F.when(F.abs(kth_score) < EXACT, kth_score).when(kth_score > -float(1 << 62), kth_score - F.abs(kth_score) * SLACK).otherwise(float("-inf"))
+    least = kth.select("query", of_block, floor.alias("floor"))
     ready = stored(_with_floors(blocks, least), "query-floors")
     # A pair is one bucket and one block of queries that it may serve, not one of vectors.
     reach = ready.select(F.col("group").alias("block"), "needed")

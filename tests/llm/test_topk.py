@@ -54,10 +54,25 @@ def test_few_rows(spark, rows):
     check(spark, rows, 50)
 
 
-def test_too_large_numbers_are_an_error(spark):
-    frame = spark.createDataFrame([(0, [1e12]), (1, [1.0])], "vec_id long, embedding array<float>")
-    with pytest.raises(ValueError, match="too long"):
-        exact_top(frame, lambda key: key % 50 == 0)
+def test_long_vectors_beside_ordinary_ones(spark):
+    """Integers of any size in the comparison: doubles hold none of the large products exactly."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(300)]
+    rows += [(int(300 + i), [float(np.float32(x)) for x in rng.normal(size=4) * 10.0**e]) for e in (3, 6, 9, 12) for i in range(e * 10, e * 10 + 10)]
+    rows += [(20, [1e6, 1.0, 2.0, 3.0]), (40, [1e6 + 1, 1.0, 2.0, 3.0])]
+    found = exact_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda key: key % 20 == 0).collect()
+    numbers = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    queries = {}
+    for i, v in numbers:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    clip = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    want = set()
+    for q, x in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in numbers if i != q)[:5]
+        want |= {(q, rank, i, clip(-s)) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in found} == want
+    assert any(r[3] == (1 << 63) - 1 for r in want) and any(1 << 53 < r[3] < (1 << 63) - 1 for r in want)
 
 
 def test_coordinates_lose_nothing():
