@@ -479,6 +479,9 @@ def _cut_out(text: str):
     return run
 
 
+LARGE_GRAMS = 10_000
+
+
 def repeats(texts: DataFrame) -> DataFrame:
     """Covers (doc, hash, begin, end) of texts given as (doc, hash, data)."""
     local = stored(texts.mapInArrow(_scan_local, f"{COVER}, gram long, n long"), "suffix-local")
@@ -491,7 +494,12 @@ def repeats(texts: DataFrame) -> DataFrame:
     found = stored(dealt.mapInArrow(_classes(hot), f"kind long, gram long, {COVER}"), "suffix-classes")
     firsts = found.where("kind = 1")
     sizes = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    wanted = firsts.join(sizes, "gram").groupBy("doc", "hash").agg(F.collect_list(F.struct("gram", "n", "begin")).alias("wanted"))
+    # At most LARGE_GRAMS grams have this many rows; theirs go to the rows, so that these are not dealt out by gram.
+    bar = max(256, -(-firsts.count() // LARGE_GRAMS))
+    large = F.broadcast(sizes.where(F.col("n") >= bar))
+    rest = firsts.join(large, "gram", "left_anti").join(sizes.where(F.col("n") < bar), "gram")
+    counted = firsts.join(large, "gram").unionByName(rest)
+    wanted = counted.groupBy("doc", "hash").agg(F.collect_list(F.struct("gram", "n", "begin")).alias("wanted"))
     around = texts.join(wanted, ["doc", "hash"]).select("doc", "hash", "data", "wanted")
     contexts = stored(
         around.mapInArrow(_contexts, "gram long, n long, doc long, hash long, at long, left binary, right binary"), "suffix-contexts"
