@@ -37,6 +37,7 @@ def sized(
         F.xxhash64(text_or_empty(text)).alias("print"),
         F.col(source).cast("string").alias("source"),
         words.alias("size"),
+        F.monotonically_increasing_id().alias("number"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     return stored(rows, "sized")
@@ -142,24 +143,27 @@ def _last(left: DataFrame) -> DataFrame:
 
 
 def round_copies(rows: DataFrame, goals: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """doc, print, source, extra: the fractional copy of each document rounded to 0 or 1.
+    """doc, print, source, rows, sure, extra: the fractional copy of each document rounded to 0 or 1.
 
-    Rows that repeat entirely are one document of their words together and get the same copies.
+    Of n rows that repeat entirely, with a fraction f each, `sure` = floor(n * f) have a copy more; one further row has the
+    fraction that is left of n * f, and only this one is rounded: that is `extra`.
     Groups are cut by a hash of the document, so a source that holds most rows is only more groups.
     """
     rate = F.col("target") / F.col("source_size")
     parts = goals.where("source_size > 0").select(F.col("source").alias("_of"), (rate - F.floor(rate)).alias("part"))
     scale = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
-    items = rows.where("size > 0").groupBy(*ITEM).agg(F.sum("size").alias("size")).withColumn("scale", scale)
+    items = rows.where("size > 0").groupBy(*ITEM).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")).withColumn("scale", scale)
     groups = items.groupBy("source", "scale").agg(F.ceil(F.count(F.lit(1)) / fan_in).alias("buckets"))
     same = F.col("source").eqNullSafe(F.col("_of"))
     groups = groups.join(parts, same).where(F.col("part") > LEAST_FRACTION).select(
         F.col("_of"), F.col("scale").alias("_scale"), "buckets", "part"
     )
     order = F.xxhash64(F.lit(seed), "doc", "print", "source").alias("order")
-    level = items.join(groups, same & (F.col("scale") == F.col("_scale"))).select(
-        "source", "scale", "buckets", order, "doc", "print", F.col("size").cast("double").alias("size"),
-        (F.col("size") * F.col("part")).alias("mass"),
+    expected = F.col("rows") * F.col("part")
+    placed = items.join(groups, same & (F.col("scale") == F.col("_scale"))).withColumn("sure", F.floor(expected + LEAST_FRACTION))
+    placed = placed.withColumn("left", F.greatest(expected - F.col("sure"), F.lit(0.0)))
+    level = placed.select(
+        "source", "scale", "buckets", order, "doc", "print", F.col("size").cast("double").alias("size"), (F.col("size") * F.col("left")).alias("mass")
     ).withColumn("bucket", F.pmod(F.xxhash64("order"), F.col("buckets")))
     levels: list[DataFrame] = []
     while True:
@@ -176,7 +180,30 @@ def round_copies(rows: DataFrame, goals: DataFrame, seed: int = 7, fan_in: int =
         )
     folded = reduce(DataFrame.unionByName, levels)
     settled = folded.select("source", "settled").unionByName(_last(folded.where("buckets = 1")))
-    return settled.select("source", F.explode("settled").alias("s")).select("s.doc", "s.print", "source", "s.extra")
+    settled = settled.select("source", F.explode("settled").alias("s")).select("s.doc", "s.print", "source", "s.extra")
+    # Most documents are one row; the others' sure copies are joined to them.
+    several = placed.where("rows > 1").select(F.col("doc").alias("_d"), F.col("print").alias("_p"), F.col("source").alias("_s"), "rows", "sure")
+    one = F.col("print").eqNullSafe(F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+    joined = settled.join(several, one, "left")
+    return joined.select("doc", "print", "source", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("sure", F.lit(0)).alias("sure"), "extra")
+
+
+def _among_equals(rows: DataFrame) -> DataFrame:
+    """Add `place`, 1 and up among rows that repeat entirely.
+
+    Rows number themselves within the task that stored them; a table with one row for each document and such task has the
+    offsets, so that a document with very many rows is never in one task.
+    """
+    task = F.shiftright("number", 33)
+    rows = rows.withColumn("_task", task)
+    own = Window.partitionBy(*ITEM, "_task").orderBy("number")
+    before = Window.partitionBy(*ITEM).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*ITEM, "_task").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select(*[F.col(c).alias(f"_{c}") for c in ITEM], F.col("_task").alias("_of_task"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = (F.col("_task") == F.col("_of_task")) & F.col("print").eqNullSafe(F.col("_print"))
+    same = same & F.col("doc").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))
+    numbered = rows.withColumn("_own", F.row_number().over(own)).join(offsets, same)
+    return numbered.withColumn("place", F.col("_before") + F.col("_own")).drop("_task", "_of_task", "_own", "_before", *[f"_{c}" for c in ITEM])
 
 
 def mix(
@@ -192,12 +219,13 @@ def mix(
 
     Null texts have no words; rows without words are never drawn and take 0. Null sources are one
     source, ranked last. Null keys are documents told apart by their text. The draw depends on key,
-    text, source and seed alone, so reruns agree. An empty table gives an empty result.
+    text, source and seed alone, so reruns agree; of rows that repeat entirely, equally many have a copy more.
+    An empty table gives an empty result.
     """
     rows = sized(docs, key, text, source, carry)
     goals = stored(targets(rows, weights), "targets")
     extra = round_copies(rows, goals, seed).select(
-        F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("source").alias("_of"), "extra"
+        F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("source").alias("_of"), "rows", "sure", "extra"
     )
     same = (
         F.col("print").eqNullSafe(F.col("_print"))
@@ -205,11 +233,14 @@ def mix(
         & F.col("source").eqNullSafe(F.col("_of"))
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    copies = F.when(F.col("size") > 0, whole + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("int")
+    more = F.when(F.col("place") <= F.col("sure"), F.lit(1)).when(F.col("place") == F.col("sure") + 1, F.col("extra"))
+    copies = F.when(F.col("size") > 0, whole + F.coalesce(more, F.lit(0))).otherwise(F.lit(0)).cast("int")
     goal = goals.select(F.col("source").alias("_source"), "source_size", "target")
+    rows = rows.join(extra, same, "left").drop("_doc", "_print", "_of")
+    alone = F.coalesce(F.col("rows"), F.lit(1)) == 1
+    rows = rows.where(alone).withColumn("place", F.lit(1).cast("long")).unionByName(_among_equals(rows.where(~alone)))
     return (
-        rows.join(extra, same, "left")
-        .join(goal, F.col("source").eqNullSafe(F.col("_source")))
+        rows.join(goal, F.col("source").eqNullSafe(F.col("_source")))
         .select(
             *(["row"] if carry else []),
             "doc", "source", "size", "source_size", "target", copies.alias("copies"),

@@ -101,3 +101,14 @@ def test_nothing_to_mix(documents, rows):
 def test_runs_no_python(documents, hard_rows):
     plan = mixture(documents(hard_rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_half_of_a_source_is_one_row(documents):
+    """Equal rows are rounded one by one, so their source comes as near its target as others."""
+    rows = [(7, "again and again " * 5, "a")] * 500 + [(1000 + i, "w " * (3 + i % 20), "a") for i in range(500)]
+    rows += [(5000 + i, "v " * (2 + i % 30), "b") for i in range(700)] + [(9, "twice", None)] * 3
+    for seed in (1, 2, 3):
+        found = mix(documents(rows).repartition(6), seed=seed).collect()
+        check(rows, found)
+        again = mix(documents(rows[::-1]).repartition(3), seed=seed).collect()
+        assert sorted((r.doc, r.taken) for r in again) == sorted((r.doc, r.taken) for r in found)
