@@ -406,26 +406,65 @@ SELECT rhs, lhs, rhs_value, CAST(len(seen) AS INTEGER) AS n_present, CAST({DELTA
   CAST({DELTA_MAX} AS INTEGER) AS delta_max FROM grp WHERE n = 1 AND len(seen) >= 2"""
 
 
-def discover_sql(theta: float = 0.0) -> str:
+THREE_EDGE_PATTERNS = [[CONTAINS, SUPPLIES, PLACED_BY], [CONTAINS, *HOME]]
+MIN_IMAGES = 20
+
+
+def images_sql() -> str:
+    """The least number of distinct vertices of a type in all matches of a pattern, for the patterns with enough."""
+    ones = [[CONTAINS], [SUPPLIES], *[[e] for e in HOME]]
+    rows = []
+    for edges in [*ones, *TWO_EDGE_PATTERNS, *THREE_EDGE_PATTERNS]:
+        source, uris = match_from(edges)
+        least = ", ".join(f"count(DISTINCT {u})" for u in uris.values())
+        rows.append(f"SELECT {len(edges)} AS level, '{pattern_id(edges)}' AS pattern_id, least({least}) AS support {source}")
+    return GRAPH + f"SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE support >= {MIN_IMAGES}"
+
+
+def matched_edges_sql() -> str:
+    edges = [CONTAINS, *HOME]
+    rows = " UNION ".join(f"SELECT snapshot, '{rel}' AS rel, {src}_uri AS src_uri, {dst}_uri AS dst_uri FROM m" for src, rel, dst in edges)
+    return GRAPH + f", m AS MATERIALIZED ({match_sql(edges)}) {rows}"
+
+
+def keyed_presence_cte(name: str, match: str, dependency: list[tuple[str, str]]) -> str:
+    """Like `presence_cte`, over a stored match; one key for each lookup keeps the join order as it is written."""
+    columns = ", ".join(f"a{i}.value AS {t}_{a}" for i, (t, a) in enumerate(dependency))
+    joins = " ".join(
+        f"JOIN keyed a{i} ON a{i}.k = concat_ws('/', m.snapshot, '{t}', '{a}', m.{t}_uri)" for i, (t, a) in enumerate(dependency)
+    )
+    names = ", ".join(f"{t}_{a}" for t, a in dependency)
+    return f""",
+{name}_rows AS (SELECT DISTINCT m.snapshot, {columns} FROM {match} m {joins}),
+{name} AS (SELECT {names}, list_sort(list(snapshot)) AS seen FROM {name}_rows GROUP BY ALL)"""
+
+
+def discover_sql(theta: float = 0.0, patterns: list | None = None) -> str:
     ctes, rows = [], []
     number = 0
-    for edges in TWO_EDGE_PATTERNS:
+    if patterns:
+        valid = "SELECT concat_ws('/', snapshot, vtype, attr, uri) AS k, value FROM attrs WHERE value NOT IN ('????', '')"
+        ctes.append(f",\nkeyed AS MATERIALIZED ({valid})")
+    for place, edges in enumerate(patterns or TWO_EDGE_PATTERNS):
+        if patterns:
+            ctes.append(f",\nmatch{place} AS MATERIALIZED ({match_sql(edges)})")
         for dependency in pattern_dependencies(edges):
             name = f"p{number}"
             number += 1
-            ctes.append(presence_cte(name, edges, dependency))
+            keyed = patterns and keyed_presence_cte(name, f"match{place}", dependency)
+            ctes.append(keyed or presence_cte(name, edges, dependency))
             for rhs_type, rhs_attr in dependency:
                 lhs = [(t, a) for t, a in dependency if t != rhs_type]
                 lhs_cols = ", ".join(f"{t}_{a}" for t, a in lhs)
                 text = " || ';' || ".join(f"'{t}.{a}=' || {t}_{a}" for t, a in sorted(lhs, key=lambda x: f"{x[0]}.{x[1]}"))
                 rows.append(
-                    f"SELECT '{pattern_id(edges)}' AS pattern_id, {text} AS lhs, '{rhs_type}.{rhs_attr}' AS rhs_attr, "
+                    f"SELECT {len(edges)} AS level, '{pattern_id(edges)}' AS pattern_id, {text} AS lhs, '{rhs_type}.{rhs_attr}' AS rhs_attr, "
                     f"any_value({rhs_type}_{rhs_attr}) AS rhs_value, any_value(seen) AS seen, "
                     f"(SELECT count(*) FROM {name}) AS n_tuples FROM {name} GROUP BY {lhs_cols} HAVING count(*) = 1"
                 )
     return GRAPH + "".join(ctes) + f""",
 found AS ({' UNION ALL '.join(rows)})
-SELECT 2 AS level, pattern_id, lhs, rhs_attr, rhs_value, CAST({DELTA_MIN} AS INTEGER) AS delta_min,
+SELECT level, pattern_id, lhs, rhs_attr, rhs_value, CAST({DELTA_MIN} AS INTEGER) AS delta_min,
   CAST({DELTA_MAX} AS INTEGER) AS delta_max, CAST(len(seen) AS INTEGER) AS n_present, n_tuples,
   round((len(seen) * (len(seen) - 1) / 2) / (n_tuples * {POSSIBLE}), 12) AS support
 FROM found WHERE len(seen) >= 2
@@ -765,6 +804,9 @@ def build() -> dict[str, str]:
           round((len(seen) * (len(seen) - 1) / 2) / ((SELECT count(*) FROM pres) * {POSSIBLE}), 12) AS support FROM pres""",
         "constant_dependencies": constant_sql(),
         "discover_tgfds": discover_sql(),
+        "discover_three_edges": discover_sql(1e-4, [[CONTAINS, PLACED_BY], HOME, [CONTAINS, *HOME]]),
+        "pattern_images": images_sql(),
+        "matched_edges": matched_edges_sql(),
         "discover_supported_tgfds": discover_sql(2e-5),
     }
 

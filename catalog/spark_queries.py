@@ -13,7 +13,7 @@ from catalog import star_graph as star
 from kairograph.functions import rdf, temporal
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, VERTEX_KEY, PropertyGraph
 from kairograph.operators import assembly, dependencies, filters, matching, partitioning, patterns, profile
-from kairograph.operators import rdf_graph, sampling
+from kairograph.operators import rdf_graph, reduction, sampling
 from kairograph.plans import discovery, jobs
 from kairograph.plans.storage import new_path
 from kairograph.session import configure
@@ -30,6 +30,8 @@ STABLE_SIZE = 5000
 HUB_TYPE, HUB_DEGREE = "part", 10
 HIGH_DEGREE = 12
 THETA = 2e-5
+THETA_THREE = 1e-4
+MIN_IMAGES = 20
 
 CONTAINS = ("order", "contains", "part")
 SUPPLIES = ("supplier", "supplies", "part")
@@ -593,7 +595,7 @@ def partition_by_edge_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partition_by_anchor_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = jobs.stored_graph(star.star_graph(spark, sf_dir))
+    graph = jobs.stored_graph(star.star_graph(spark, sf_dir), attributes=False)
     return _part_rows(*partitioning.parts_by_anchor(graph, "part", N_PARTS))
 
 
@@ -646,6 +648,24 @@ def pattern_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+@query
+def pattern_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with up to three edges by their least number of distinct images, grown from supported ones."""
+    graph = jobs.stored_graph(star.star_graph(spark, sf_dir), attributes=False)
+    levels = discovery.supported_patterns(graph, 3, MIN_IMAGES, MIN_COUNT)
+    rows = [(level, p.pattern_id, n) for level, found in enumerate(levels, 1) for p, n in found]
+    return spark.createDataFrame(rows, "level int, pattern_id string, support long")
+
+
+@query
+def matched_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a pattern with three edges that are left by its full reduction."""
+    graph = star.star_graph(spark, sf_dir)
+    found = reduction.reduced_edges(graph, [CONTAINS, *HOME_PATTERN])
+    rows = [table.distinct().select("snapshot", F.lit(edge.rel).alias("rel"), "src_uri", "dst_uri") for edge, table in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _dependency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     two_edges = _lattice(spark, sf_dir).where(F.col("level") == 2)
     return dependencies.dependency_candidates(two_edges, star.star_graph(spark, sf_dir).attributes, 3)
@@ -712,6 +732,15 @@ def discover_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, 0.0)
 
 
+@query
+def discover_three_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns with two and three edges that have enough images, with a threshold that leaves out choices with many tuples."""
+    graph = star.star_graph(spark, sf_dir)
+    graph = replace(graph, edges=graph.edges.where(F.col("rel") != "supplies"))
+    found = discovery.discover(graph, k=3, theta=THETA_THREE, min_count=MIN_COUNT, min_support=MIN_IMAGES)
+    return found.withColumn("lhs", map_text("lhs")).withColumn("support", F.round("support", 12))
+
+
 @query
 def discover_supported_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a threshold in the middle of the supports of the given tables."""

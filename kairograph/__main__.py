@@ -30,7 +30,7 @@ def discover(spark: SparkSession, args: argparse.Namespace) -> None:
     triples = jobs.stored_triples(ntriples.parse_triples(lines, args.types))
     graph = jobs.stored_graph(assembly.close(assembly.build_graph(triples, n_snapshots)))
     chosen = {vtype: names.split(",") for vtype, _, names in (x.partition("=") for x in args.attributes)} or None
-    found = discovery.discover(graph, args.k, args.theta, args.min_count, args.top, chosen, not args.no_prune)
+    found = discovery.discover(graph, args.k, args.theta, args.min_count, args.top, chosen, not args.no_prune, args.min_support)
     found.write.parquet(args.output)
 
 
@@ -62,14 +62,15 @@ def partition(spark: SparkSession, args: argparse.Namespace) -> None:
         cut = partitioning.parts_by_edge_label if args.by == "edge-label" else partitioning.parts_on_grid
         edge_parts = cut(graph.edges, args.parts)
         vertex_parts = partitioning.vertices_of_parts(graph.vertices, edge_parts)
+    vertex_parts, edge_parts = (jobs.write_table(parts, "parts") for parts in (vertex_parts, edge_parts))
+    partitioning.part_counts(vertex_parts, edge_parts).write.parquet(args.counts or f"{args.output}-counts")
     lines = jobs.part_lines(graph, vertex_parts, edge_parts, namespace)
     ntriples.write_lines(jobs.name_parts(lines, _file_names(spark, names)), args.output)
 
 
 def integrate(spark: SparkSession, args: argparse.Namespace) -> None:
     source = statements.scan_statement_lines(spark, args.input, args.years)
-    if args.rejected:
-        statements.rejected_lines(source).write.parquet(args.rejected)
+    statements.rejected_lines(source).write.parquet(args.rejected or f"{args.output}-rejected")
     parsed = jobs.write_table(statements.parse_statements(source), "statements", ["kind"])
     _write(spark, jobs.integrated_lines(parsed, args.years), [f"{year}.nt" for year in args.years], args.output)
 
@@ -113,6 +114,7 @@ def _parser() -> argparse.ArgumentParser:
     mine.add_argument("--min-count", type=int, default=profile.MIN_EDGE_COUNT)
     mine.add_argument("--top", type=int, default=profile.TOP, help="most frequent types and edge types that patterns use")
     mine.add_argument("--no-prune", action="store_true", help="all patterns of a level, in any order of growth")
+    mine.add_argument("--min-support", type=int, help="grow patterns by distinct images of their types, at least so many")
     mine.add_argument("--attributes", nargs="*", default=[], metavar="TYPE=NAME,NAME")
     for function in (sample_movies, sample_encyclopedia):
         sample = command(function, "input", "output")
@@ -128,10 +130,11 @@ def _parser() -> argparse.ArgumentParser:
     cut.add_argument("--by", choices=["vertex-type", "edge-label", "anchor", "grid"], required=True)
     cut.add_argument("--parts", type=int, default=partitioning.PARTS)
     cut.add_argument("--anchor", default="movie")
+    cut.add_argument("--counts", help="folder for the vertices and edges of each part; beside the output unless given")
     cut.add_argument("--namespace", choices=sorted(NAMESPACES), default="imdb")
     joined = command(integrate, "input", "output")
     joined.add_argument("--years", nargs="+", default=list(statements.YEARS))
-    joined.add_argument("--rejected", help="folder for the number of lines of each file that are no statement")
+    joined.add_argument("--rejected", help="folder for the number of lines of each file that are no statement; beside the output unless given")
     about = command(describe, "input", "output")
     about.add_argument("--anchor", default="movie")
     about.add_argument("--namespace", choices=sorted(NAMESPACES), default="imdb")

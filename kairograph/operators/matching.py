@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.rdf import INVALID_VALUES
-from kairograph.functions.temporal import and_words, or_words, overlaps, snapshot_words, word_names
+from kairograph.functions.temporal import and_words, occurrences, or_words, overlaps, snapshot_words, word_names
 from kairograph.model import ATTRIBUTE_COLUMNS, EDGE_KEY, PropertyGraph
 from kairograph.operators.assembly import closed_edges
 from kairograph.operators.patterns import PatternEdge, make_pattern
+from kairograph.plans.storage import write_table
 
 Attribute = tuple[str, str]  # (vertex type, attribute name)
 # Products of counts of hubs can exceed LONG on the way.
@@ -53,19 +54,24 @@ def _rarest_first(all_edges: DataFrame, edges: Sequence[PatternEdge]) -> list[Pa
     return sorted(edges, key=lambda e: found.get((e.src, e.rel, e.dst), 0))
 
 
-def motif_match(graph: PropertyGraph, edges: Sequence[tuple[str, str, str]]) -> DataFrame:
+def motif_match(
+    graph: PropertyGraph, edges: Sequence[tuple[str, str, str]], tables: Mapping[PatternEdge, DataFrame] | None = None
+) -> DataFrame:
     """Every instance of the pattern: (snapshot, `<type>_uri` for each vertex type).
 
     Listing instances is the purpose here, so a hub multiplies them. Use `instance_counts`
     to count them and `presence_by_tuple` for their attribute values; neither lists them.
     The joins begin with the rarest edge type, by one count of the types of the pattern, and go
-    on with the rarest that is connected.
+    on with the rarest that is connected. `tables` may hold the edges that are left by
+    `reduction.reduced_edges`: then every row of every step is part of a match.
     """
     all_edges = closed_edges(graph)
+    wanted = [PatternEdge(*e) for e in edges]
+    tables = tables or {e: edges_of(all_edges, e) for e in wanted}
     matches = None
-    for edge in _connected_order(_rarest_first(all_edges, [PatternEdge(*e) for e in edges])):
+    for edge in _connected_order(_rarest_first(all_edges, wanted)):
         ends = [F.col("src_uri").alias(f"{edge.src}_uri"), F.col("dst_uri").alias(f"{edge.dst}_uri")]
-        rows = edges_of(all_edges, edge).select("snapshot", *ends)
+        rows = tables[edge].select("snapshot", *ends)
         if matches is None:
             matches = rows
         else:
@@ -114,38 +120,41 @@ def compress(graph: PropertyGraph) -> TemporalGraph:
     )
 
 
-def _require_tree(edges: Sequence[PatternEdge]) -> None:
+def require_tree(edges: Sequence[PatternEdge]) -> None:
     _connected_order(edges)
     types = {name for edge in edges for name in (edge.src, edge.dst)}
     if len(types) != len(edges) + 1:
         raise ValueError("the edges of the pattern must form a tree")
 
 
-def _center(edges: Sequence[PatternEdge]) -> str:
+def center(edges: Sequence[PatternEdge]) -> str:
     names = [name for edge in edges for name in (edge.src, edge.dst)]
     return min(set(names), key=lambda name: (-names.count(name), name))
 
 
-def _branches(edges: Sequence[PatternEdge], at: str) -> list[tuple[PatternEdge, str, str, str]]:
+def branches(edges: Sequence[PatternEdge], at: str) -> list[tuple[PatternEdge, str, str, str]]:
     """(edge, next type, column of this end, column of the next end) around a vertex type."""
     out = [(e, e.dst, "src_uri", "dst_uri") for e in edges if e.src == at]
     return out + [(e, e.src, "dst_uri", "src_uri") for e in edges if e.dst == at]
 
 
-def _reduced(
+def _factors(
     temporal: TemporalGraph, edges: Sequence[PatternEdge], options: Mapping[str, Sequence[str] | None], at: str
-) -> DataFrame:
-    """(uri, choice and value columns, mask): the distinct value tuples of the subtree below each vertex."""
+) -> list[DataFrame]:
+    """The parts whose product at each `at` vertex is its tuples: its own values, and those of each branch.
+
+    Each is (uri, choice and value columns, mask), distinct.
+    """
     size = temporal.n_snapshots
     words = word_names(size)
-    result = None
+    found_parts: list[DataFrame] = []
     if at in options:
         own = temporal.values.where(F.col("vtype") == at)
         if options[at] is not None:
             own = own.where(F.col("attr").isin(list(options[at])))
         columns = [F.col("attr").alias(choice_name(at)), F.col("value").alias(value_name(at))]
-        result = own.select("uri", *columns, *words)
-    for edge, below, here, there in _branches(edges, at):
+        found_parts.append(own.select("uri", *columns, *words))
+    for edge, below, here, there in branches(edges, at):
         rest = [e for e in edges if e != edge]
         links = edges_of(temporal.edges, edge).select(
             F.col(here).alias("uri"), F.col(there).alias("below_uri"), *words
@@ -164,18 +173,69 @@ def _reduced(
         # Merging here, map-side first, is what keeps a hub from multiplying: however many
         # neighbours it has, only their distinct values go on.
         message = reached.groupBy("uri", *[f"`{n}`" for n in found]).agg(*or_words(size))
+        found_parts.append(message)
+    return found_parts
+
+
+def _joined(factors: Sequence[DataFrame], size: int) -> DataFrame | None:
+    """The product of the factors of each vertex, over the snapshots that they share."""
+    result = None
+    for factor in factors:
         if result is None:
-            result = message
+            result = factor
             continue
-        kept = [c for c in result.columns if c != "uri" and c not in words]
+        words = word_names(size)
+        kept, found = ([c for c in rows.columns if c != "uri" and c not in words] for rows in (result, factor))
         both = result.alias("a").join(
-            message.alias("b"), (F.col("a.uri") == F.col("b.uri")) & overlaps("a", "b", size)
+            factor.alias("b"), (F.col("a.uri") == F.col("b.uri")) & overlaps("a", "b", size)
         )
         columns = [F.col(f"a.`{n}`") for n in kept] + [F.col(f"b.`{n}`") for n in found]
         result = both.select("a.uri", *columns, *and_words("a", "b", size))
     return result
 
 
+def _reduced(
+    temporal: TemporalGraph, edges: Sequence[PatternEdge], options: Mapping[str, Sequence[str] | None], at: str
+) -> DataFrame | None:
+    """(uri, choice and value columns, mask): the distinct value tuples of the subtree below each vertex."""
+    return _joined(_factors(temporal, edges, options, at), temporal.n_snapshots)
+
+
+def _choices(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.endswith(":choice")]
+
+
+def _least_tuples(factors: Sequence[DataFrame], size: int) -> DataFrame:
+    """(choice columns, least): a number of tuples that each choice has at the least, found without making them.
+
+    In one snapshot a vertex has as many tuples as the product of the sizes of its factors. These are
+    counted factor by factor, so a hub of m and n values is m + n rows here and not m x n.
+    """
+    counted = None
+    for factor in factors:
+        keys = ["uri", "snapshot", *[f"`{c}`" for c in _choices(factor)]]
+        seen = factor.select("uri", *[f"`{c}`" for c in _choices(factor)], F.explode(occurrences(size)).alias("snapshot"))
+        own = seen.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if counted is None:
+            counted = own
+        else:
+            both = counted.join(own.withColumnRenamed("n", "more"), ["uri", "snapshot"])
+            counted = both.withColumn("n", F.col("n") * F.col("more")).drop("more")
+    return counted.groupBy(*[f"`{c}`" for c in _choices(counted)]).agg(F.max("n").alias("least"))
+
+
+def _bounded(factors: list[DataFrame], size: int, most: float) -> list[DataFrame]:
+    """The factors without what only serves choices that have more than `most` tuples for certain."""
+    factors = [write_table(f, "factor") for f in factors]
+    open_ = write_table(_least_tuples(factors, size).where(F.col("least") <= most).drop("least"), "choices")
+    out = []
+    for factor in factors:
+        names = _choices(factor)
+        kept = open_.select(*[f"`{c}`" for c in names]).distinct() if names else open_.limit(1)
+        out.append(factor.join(kept, names, "left_semi") if names else factor.join(kept, F.lit(True), "left_semi"))
+    return [*out, open_]
+
+
 def choice_name(vtype: str) -> str:
     return f"{vtype}:choice"
 
@@ -185,7 +245,10 @@ def value_name(vtype: str) -> str:
 
 
 def presence_by_choice(
-    temporal: TemporalGraph, edges: Sequence[tuple[str, str, str]], options: Mapping[str, Sequence[str] | None]
+    temporal: TemporalGraph,
+    edges: Sequence[tuple[str, str, str]],
+    options: Mapping[str, Sequence[str] | None],
+    most: float | None = None,
 ) -> DataFrame:
     """Distinct valid attribute tuples of all matches, for every choice of one attribute per type.
 
@@ -195,11 +258,18 @@ def presence_by_choice(
     dependencies of a pattern come from a single pass over its edges.
 
     Instances are not listed: values travel along the tree towards its centre and are
-    merged at every step.
+    merged at every step. Where branches meet, m values of one and n of another make m x n tuples. With `most`,
+    the factors are counted before that, and choices that would have more tuples than that at a single vertex
+    are left out; all others are whole.
     """
     pattern = make_pattern(edges)
-    _require_tree(pattern.edges)
-    reduced = _reduced(temporal, pattern.edges, options, _center(pattern.edges))
+    require_tree(pattern.edges)
+    factors = _factors(temporal, pattern.edges, options, center(pattern.edges))
+    if most is None:
+        reduced = _joined(factors, temporal.n_snapshots)
+    else:
+        *factors, open_ = _bounded(factors, temporal.n_snapshots, most)
+        reduced = _joined(factors, temporal.n_snapshots).join(open_, _choices(open_), "left_semi")
     names = [name(vtype) for vtype in options for name in (choice_name, value_name)]
     return reduced.groupBy(*[f"`{name}`" for name in names]).agg(*or_words(temporal.n_snapshots))
 
@@ -216,7 +286,7 @@ def presence_by_tuple(
 def _counted(all_edges: DataFrame, edges: Sequence[PatternEdge], at: str) -> DataFrame | None:
     """(snapshot, uri, n): instances of the subtree below each `at` vertex."""
     result = None
-    for edge, below, here, there in _branches(edges, at):
+    for edge, below, here, there in branches(edges, at):
         rest = [e for e in edges if e != edge]
         links = edges_of(all_edges, edge).select("snapshot", F.col(here).alias("uri"), F.col(there).alias("below_uri"))
         subtree = _counted(all_edges, rest, below)
@@ -239,6 +309,6 @@ def instance_counts(graph: PropertyGraph, edges: Sequence[tuple[str, str, str]])
     Products are taken in decimals; a number beyond LONG is an error only as the final result.
     """
     pattern = make_pattern(edges)
-    _require_tree(pattern.edges)
-    counted = _counted(closed_edges(graph), pattern.edges, _center(pattern.edges))
+    require_tree(pattern.edges)
+    counted = _counted(closed_edges(graph), pattern.edges, center(pattern.edges))
     return counted.groupBy("snapshot").agg(F.sum("n").cast("long").alias("n"))

@@ -61,6 +61,17 @@ def grow_patterns(
     return levels
 
 
+def extend_patterns(patterns: Sequence[Pattern], frequent: Sequence[tuple[str, str, str]]) -> list[Pattern]:
+    """Every distinct pattern with one more edge that brings one new type."""
+    grown = {
+        make_pattern([*pattern.edges, edge]): None
+        for pattern in patterns
+        for edge in (PatternEdge(*e) for e in frequent)
+        if (edge.src in pattern.vertices) != (edge.dst in pattern.vertices)
+    }
+    return list(grown)
+
+
 def _pattern_text(edges: Column) -> Column:
     return F.array_join(F.transform(edges, lambda e: F.concat_ws(">", e["src"], e["rel"], e["dst"])), ";")
 

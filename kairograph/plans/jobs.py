@@ -30,13 +30,13 @@ def stored_triples(triples: DataFrame) -> DataFrame:
     return write_table(triples, "triples", ["kind"])
 
 
-def stored_graph(graph: PropertyGraph) -> PropertyGraph:
-    """The tables of a graph written once, split by snapshot."""
+def stored_graph(graph: PropertyGraph, attributes: bool = True) -> PropertyGraph:
+    """The tables of a graph written once, split by snapshot; the attributes only where they are read."""
     by_snapshot = ["snapshot"]
     return replace(
         graph,
         vertices=write_table(graph.vertices, "vertices", by_snapshot),
-        attributes=write_table(graph.attributes, "attributes", by_snapshot),
+        attributes=write_table(graph.attributes, "attributes", by_snapshot) if attributes else graph.attributes,
         edges=write_table(graph.edges, "edges", by_snapshot),
     )
 

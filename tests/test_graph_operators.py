@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, PropertyGraph
-from kairograph.operators import filters, matching, partitioning, patterns, sampling
+from kairograph.operators import filters, matching, partitioning, patterns, reduction, sampling
 from kairograph.plans import discovery, ranking
 from kairograph.plans.storage import write_table
 
@@ -273,6 +273,71 @@ def test_discovery_against_brute_force(spark, snapshots):
     assert got == {(k[0], k[1], tuple(sorted(k[2])), *k[3:]): v for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_full_reduction_against_brute_force(spark, pattern):
+    """What is left is what matches use; matches from it are the same."""
+    graph, data = random_graph(spark, 5)
+    found = [(t, m) for t in range(4) for m in brute_matches(data, pattern, t)]
+    tables = reduction.reduced_edges(graph, pattern)
+    for (src, _, dst), rows in tables.items():
+        got = {tuple(r) for r in rows.collect()}
+        assert got == {(t, m[src], m[dst]) for t, m in found}
+    types = sorted({t for e in pattern for t in (e[0], e[2])})
+    names = ["snapshot", *[f"{t}_uri" for t in types]]
+    plain, reduced = (matching.motif_match(graph, pattern, t).select(*names) for t in (None, tables))
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, reduced.collect()))
+    support = reduction.image_support(graph, patterns.make_pattern(pattern)).first().support
+    assert support == min((len({m[t] for _, m in found}) for t in types), default=0)
+
+
+def test_supported_growth_equals_the_filtered_lattice(spark):
+    graph, data = random_graph(spark, 7)
+    edges = [("a", "r", "b"), ("b", "s", "c"), ("d", "t", "b")]
+    support = {}
+    for size in (1, 2, 3):
+        for pattern in combinations(edges, size):
+            found = [m for t in range(4) for m in brute_matches(data, pattern, t)]
+            types = {t for e in pattern for t in (e[0], e[2])}
+            support[patterns.make_pattern(pattern)] = min((len({m[t] for m in found}) for t in types), default=0)
+    values = sorted(set(support.values()))
+    assert len(values) > 1
+    for least in (0, values[-1], 100):
+        levels = discovery.supported_patterns(graph, 3, least, min_count=1)
+        got = {p: n for level in levels for p, n in level}
+        assert got == {p: n for p, n in support.items() if n >= least}
+    found = discovery.discover(graph, k=3, min_count=1, min_support=values[1]).select("pattern_id").distinct().collect()
+    assert {r.pattern_id for r in found} <= {p.pattern_id for p, n in support.items() if n >= values[1] and len(p.edges) > 1}
+
+
+@pytest.mark.parametrize("theta", [1e-4, 2e-3, 6e-3, 2e-2, 0.3])
+def test_threshold_leaves_out_choices_but_no_result(spark, theta):
+    graph, _ = random_graph(spark, 7, 66)
+    whole = discovery.discover(graph, k=3, min_count=1, prune=False)
+    text = lambda df: {tuple(str(x) for x in r) for r in df.collect()}
+    assert text(discovery.discover(graph, k=3, min_count=1, prune=False, theta=theta)) == text(whole.where(F.col("support") >= theta))
+
+
+def test_a_hub_of_many_values_is_not_multiplied(spark):
+    """Two branches of 10^5 values meet in one vertex: 10^10 tuples, which a threshold rules out before they are made."""
+    n = 100_000
+    ids = spark.range(n).select(F.col("id").cast("string").alias("i"))
+    both = ids.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("snapshot")))
+    hub = spark.createDataFrame([(t, "c", "hub") for t in range(2)], "snapshot int, vtype string, uri string")
+    vertices, edges = [hub], []
+    for vtype, rel in (("a", "r"), ("b", "s")):
+        vertices.append(both.select("snapshot", F.lit(vtype).alias("vtype"), F.col("i").alias("uri")))
+        edges.append(both.select("snapshot", F.lit(vtype).alias("src_type"), F.col("i").alias("src_uri"), F.lit(rel).alias("rel"), F.lit("c").alias("dst_type"), F.lit("hub").alias("dst_uri")))
+    vertices = vertices[0].unionByName(vertices[1]).unionByName(vertices[2])
+    names = vertices.select("*", F.lit("name").alias("attr"), F.concat("vtype", "uri").alias("value"))
+    kinds = vertices.select("*", F.lit("kind").alias("attr"), F.concat(F.lit("k"), F.pmod(F.hash("uri"), F.lit(3))).alias("value"))
+    graph = PropertyGraph(vertices, names.unionByName(kinds), edges[0].unionByName(edges[1]), 2, closed=True)
+    found = discovery.discover(graph, k=2, theta=1e-3, min_count=1, prune=False)
+    rows = found.collect()
+    # Only the choices of few values are left: kinds on both sides, with either attribute of the hub.
+    assert {r.n_tuples for r in rows} <= {9} and rows
+    assert all(r.support >= 1e-3 for r in rows)
+
+
 def test_theta_and_empty_results(spark):
     graph, _ = random_graph(spark, 7)
     assert discovery.discover(graph, k=2, min_count=10**6).count() == 0
