@@ -804,6 +804,7 @@ def build() -> dict[str, str]:
           round((len(seen) * (len(seen) - 1) / 2) / ((SELECT count(*) FROM pres) * {POSSIBLE}), 12) AS support FROM pres""",
         "constant_dependencies": constant_sql(),
         "discover_tgfds": discover_sql(),
+        "discover_growing_series": discover_sql(),
         "discover_three_edges": discover_sql(1e-4, [[CONTAINS, PLACED_BY], HOME, [CONTAINS, *HOME]]),
         "pattern_images": images_sql(),
         "matched_edges": matched_edges_sql(),

@@ -14,7 +14,7 @@ from kairograph.functions import rdf, temporal
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, VERTEX_KEY, PropertyGraph
 from kairograph.operators import assembly, dependencies, filters, matching, partitioning, patterns, profile
 from kairograph.operators import rdf_graph, reduction, sampling
-from kairograph.plans import discovery, jobs
+from kairograph.plans import discovery, incremental, jobs
 from kairograph.plans.storage import new_path
 from kairograph.session import configure
 from kairograph.sources import ntriples, statements
@@ -575,13 +575,13 @@ def partition_by_vertex_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_rows(vertex_parts, inside)
 
 
-def _part_rows(vertex_parts: DataFrame, edge_parts: DataFrame) -> DataFrame:
-    """Vertex and edge parts as one table (kind, snapshot, part, item)."""
+def _part_rows(vertex_parts: DataFrame, edge_parts: DataFrame, *keep: str) -> DataFrame:
+    """Vertex and edge parts as one table (kind, snapshot, part, item, and the columns to keep)."""
     vertices = vertex_parts.select(
-        F.lit("vertex").alias("kind"), "snapshot", "part", F.concat_ws("/", "vtype", "uri").alias("item")
+        F.lit("vertex").alias("kind"), "snapshot", "part", F.concat_ws("/", "vtype", "uri").alias("item"), *keep
     )
     edges = partitioning.edge_rows(edge_parts).select(
-        F.lit("edge").alias("kind"), "snapshot", "part", F.concat_ws("/", *EDGE_KEY).alias("item")
+        F.lit("edge").alias("kind"), "snapshot", "part", F.concat_ws("/", *EDGE_KEY).alias("item"), *keep
     )
     return vertices.unionByName(edges)
 
@@ -603,12 +603,8 @@ def partition_by_anchor_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_edges_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges, and the vertices that follow them, for a square and another number of parts."""
     graph = star.star_graph(spark, sf_dir)
-    rows = []
-    for n in (N_PARTS, GRID_PARTS):
-        edge_parts = jobs.write_table(partitioning.parts_on_grid(graph.edges, n), "grid-parts")
-        parts = _part_rows(partitioning.vertices_of_parts(graph.vertices, edge_parts), edge_parts)
-        rows.append(parts.withColumn("n_parts", F.lit(n)))
-    return reduce(DataFrame.unionByName, rows)
+    edge_parts = jobs.write_table(partitioning.parts_on_grids(graph.edges, (N_PARTS, GRID_PARTS)), "grid-parts")
+    return _part_rows(partitioning.vertices_of_parts(graph.vertices, edge_parts, "n_parts"), edge_parts, "n_parts")
 
 
 @query
@@ -732,6 +728,20 @@ def discover_tgfds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, 0.0)
 
 
+@query
+def discover_growing_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same dependencies as `discover_tgfds`, with the snapshots added one after the other."""
+    graph = jobs.stored_graph(star.star_graph(spark, sf_dir))
+    folder = new_path(spark, "growing-series")
+    for snapshot in range(graph.n_snapshots):
+        one = incremental.one_snapshot(graph, snapshot)
+        if snapshot == 0:
+            incremental.begin(one, folder, k=2, min_count=MIN_COUNT)
+        incremental.add_snapshot(one, folder)
+    found = incremental.report(spark, folder)
+    return found.withColumn("lhs", map_text("lhs")).withColumn("support", F.round("support", 12))
+
+
 @query
 def discover_three_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All patterns with two and three edges that have enough images, with a threshold that leaves out choices with many tuples."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
 from kairograph.operators import assembly, filters, partitioning, profile
-from kairograph.plans import discovery, jobs
+from kairograph.plans import discovery, incremental, jobs
 from kairograph.session import configure
 from kairograph.sources import ntriples, statements
 
@@ -25,15 +25,33 @@ def _write(spark: SparkSession, lines: DataFrame, names: list[str], path: str) -
     ntriples.write_lines(named.select(F.col("file_name").alias("file"), "line"), path)
 
 
+def _chosen(options: list[str]) -> dict[str, list[str]] | None:
+    return {vtype: names.split(",") for vtype, _, names in (x.partition("=") for x in options)} or None
+
+
 def discover(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, n_snapshots = ntriples.load_snapshots(spark, args.base, args.start, args.end, args.prefix)
     triples = jobs.stored_triples(ntriples.parse_triples(lines, args.types))
     graph = jobs.stored_graph(assembly.close(assembly.build_graph(triples, n_snapshots)))
-    chosen = {vtype: names.split(",") for vtype, _, names in (x.partition("=") for x in args.attributes)} or None
-    found = discovery.discover(graph, args.k, args.theta, args.min_count, args.top, chosen, not args.no_prune, args.min_support)
+    found = discovery.discover(graph, args.k, args.theta, args.min_count, args.top, _chosen(args.attributes), not args.no_prune, args.min_support)
     found.write.parquet(args.output)
 
 
+def extend(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Add one snapshot file to a mined series; with --begin K, make the series first."""
+    lines = ntriples.scan_lines(spark, args.input).select(F.lit(0).alias("snapshot"), "line")
+    triples = jobs.stored_triples(ntriples.parse_triples(lines, args.types))
+    graph = jobs.stored_graph(assembly.close(assembly.build_graph(triples, 1)))
+    if args.begin is not None:
+        chosen = _chosen(args.attributes)
+        incremental.begin(graph, args.state, args.begin, args.min_count, args.top, chosen, not args.no_prune)
+    incremental.add_snapshot(graph, args.state)
+
+
+def report(spark: SparkSession, args: argparse.Namespace) -> None:
+    incremental.report(spark, args.state, args.theta).write.parquet(args.output)
+
+
 def sample_movies(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, names = ntriples.load_folder(spark, args.input)
     graph = jobs.sample_movie_graph(
@@ -110,12 +128,17 @@ def _parser() -> argparse.ArgumentParser:
     mine.add_argument("theta", type=float)
     mine.add_argument("output")
     mine.add_argument("--prefix", default=ntriples.FILE_PREFIX)
-    mine.add_argument("--types", nargs="+", default=list(rdf.IMDB_TYPES))
-    mine.add_argument("--min-count", type=int, default=profile.MIN_EDGE_COUNT)
-    mine.add_argument("--top", type=int, default=profile.TOP, help="most frequent types and edge types that patterns use")
-    mine.add_argument("--no-prune", action="store_true", help="all patterns of a level, in any order of growth")
     mine.add_argument("--min-support", type=int, help="grow patterns by distinct images of their types, at least so many")
-    mine.add_argument("--attributes", nargs="*", default=[], metavar="TYPE=NAME,NAME")
+    grown = command(extend, "state", "input")
+    grown.add_argument("--begin", type=int, metavar="K", help="make the series with this first file, for patterns with 2 to K edges")
+    for mining in (mine, grown):
+        mining.add_argument("--types", nargs="+", default=list(rdf.IMDB_TYPES))
+        mining.add_argument("--min-count", type=int, default=profile.MIN_EDGE_COUNT)
+        mining.add_argument("--top", type=int, default=profile.TOP, help="most frequent types and edge types that patterns use")
+        mining.add_argument("--no-prune", action="store_true", help="all patterns of a level, in any order of growth")
+        mining.add_argument("--attributes", nargs="*", default=[], metavar="TYPE=NAME,NAME")
+    told = command(report, "state", "output")
+    told.add_argument("--theta", type=float, default=0.0)
     for function in (sample_movies, sample_encyclopedia):
         sample = command(function, "input", "output")
         sample.add_argument("size", type=int)

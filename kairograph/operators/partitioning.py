@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Sequence
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from kairograph.plans.ranking import compact_copies, expand_copies, rank_by_hash
 # Default number of parts, and the prime of the two-dimensional scheme.
 PARTS = 4
 MIXING_PRIME = 1125899906842597
+MIXING_LESS = 2**50 - MIXING_PRIME
 
 
 def parts_by_vertex_type(vertices: DataFrame, n_parts: int = PARTS) -> DataFrame:
@@ -48,10 +49,10 @@ def parts_by_edge_label(edges: DataFrame, n_parts: int = PARTS) -> DataFrame:
     return dealt.select(*EDGE_COLUMNS, part.alias("part"), share.alias("copies"))
 
 
-def vertices_of_parts(vertices: DataFrame, edge_parts: DataFrame) -> DataFrame:
-    """(vertex, part) for the existing end vertices of the edges of each part."""
-    ends = endpoints(edge_parts, "part")
-    return ends.join(vertices.select(*VERTEX_KEY), VERTEX_KEY, "left_semi").select(*VERTEX_KEY, "part")
+def vertices_of_parts(vertices: DataFrame, edge_parts: DataFrame, *keep: str) -> DataFrame:
+    """(vertex, part, and the columns to keep) for the existing end vertices of the edges of each part."""
+    ends = endpoints(edge_parts, "part", *keep)
+    return ends.join(vertices.select(*VERTEX_KEY), VERTEX_KEY, "left_semi").select(*VERTEX_KEY, "part", *keep)
 
 
 def _anchor_part(vtype: Column, uri: Column, n_parts: int) -> Column:
@@ -82,14 +83,16 @@ def parts_by_anchor(graph: PropertyGraph, anchor: str, n_parts: int = PARTS) ->
 
 
 def _wrapped_product(number: Column) -> Column:
-    """abs(number * prime) in 64-bit arithmetic that wraps around, as DECIMAL(38, 0).
+    """abs(number * prime) in 64-bit arithmetic that wraps around, of an id of 32 bits.
 
-    ANSI mode rejects an overflow of LONG, so the product is taken in decimals.
+    ANSI mode rejects an overflow of LONG, so the product is taken in two parts: the prime is 2^50 - 27, a shift
+    wraps without an error, and 27 ids need 37 bits. Their difference leaves the range only below the least LONG,
+    from where it goes on at the greatest. The least LONG itself, which has no abs, is no product of such an id.
     """
-    product = number.cast("decimal(11,0)") * F.lit(MIXING_PRIME).cast("decimal(16,0)")
-    span, half = F.lit(Decimal(2**64)), F.lit(Decimal(2**63))
-    low = F.pmod(product, span)
-    return F.abs(F.when(low >= half, low - span).otherwise(low))
+    shifted = F.shiftleft(number, 50)
+    small = number * F.lit(MIXING_LESS).cast("long")
+    wraps = (shifted == F.lit(-(2**63))) & (small > 0)
+    return F.abs(F.when(wraps, F.lit(2**63 - 1) - (small - 1)).otherwise(shifted - small))
 
 
 def grid_part(src_id: Column, dst_id: Column, n_parts: int) -> Column:
@@ -114,6 +117,15 @@ def parts_on_grid(edges: DataFrame, n_parts: int = PARTS) -> DataFrame:
     return edges.select(*EDGE_COLUMNS, grid_part(src, dst, n_parts).cast("int").alias("part"))
 
 
+def parts_on_grids(edges: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """The parts of several grids by `n_parts`; the ids of an edge are worked out once for all of them."""
+    ids = edges.select(*EDGE_COLUMNS, *[rdf.vertex_id(F.col(uri), F.col(vtype)).alias(uri[:3]) for vtype, uri in ENDS])
+    parts = [
+        F.struct(F.lit(n).alias("n_parts"), grid_part(F.col("src"), F.col("dst"), n).cast("int").alias("part")) for n in numbers
+    ]
+    return ids.select(*EDGE_COLUMNS, F.inline(F.array(*parts)))
+
+
 def edge_rows(edge_parts: DataFrame) -> DataFrame:
     """One row per edge copy, whether or not the parts carry a `copies` count."""
     return expand_copies(edge_parts) if "copies" in edge_parts.columns else edge_parts

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 from itertools import combinations, product
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, PropertyGraph
 from kairograph.operators import filters, matching, partitioning, patterns, reduction, sampling
-from kairograph.plans import discovery, ranking
+from kairograph.plans import discovery, incremental, ranking
 from kairograph.plans.storage import write_table
 
 EDGE_SCHEMA = "snapshot int, src_type string, src_uri string, rel string, dst_type string, dst_uri string"
@@ -154,6 +155,20 @@ def random_graph(spark, seed, snapshots=4):
     ), (vertices, attributes, edges)
 
 
+def lasting_graph(spark, seed, snapshots):
+    """A graph of which most edges and values go on from snapshot to snapshot."""
+    rng = random.Random(seed)
+    _, (vertices, attributes, edges) = random_graph(spark, seed, 1)
+    times = range(snapshots)
+    attributes = [(t, *row[1:4], row[4] if rng.random() < 0.9 else f"other{t}") for t in times for row in attributes]
+    return PropertyGraph(
+        spark.createDataFrame([(t, *row[1:]) for t in times for row in vertices], "snapshot int, vtype string, uri string"),
+        spark.createDataFrame(attributes, "snapshot int, vtype string, uri string, attr string, value string"),
+        edge_frame(spark, [(t, *row[1:]) for t in times for row in edges if rng.random() < 0.85]),
+        snapshots,
+    )
+
+
 def brute_matches(data, pattern, snapshot):
     """Instances as {type: uri}, copies of edges included."""
     vertices = {v[1:] for v in data[0] if v[0] == snapshot}
@@ -338,6 +353,51 @@ def test_a_hub_of_many_values_is_not_multiplied(spark):
     assert all(r.support >= 1e-3 for r in rows)
 
 
+def test_a_growing_series_equals_the_whole_one(spark, tmp_path):
+    """After every addition, what is reported is what mining all snapshots so far finds."""
+    graph = lasting_graph(spark, 7, 3)
+    folder = str(tmp_path / "state")
+    text = lambda df: Counter(tuple(str(x) for x in r) for r in df.collect())
+    incremental.begin(incremental.one_snapshot(graph, 0), folder, k=3, min_count=1, prune=False)
+    assert incremental.report(spark, folder).count() == 0
+    before = None
+    for number in range(3):
+        if number == 2:  # an addition that was stopped before its end leaves rows that do not count
+            wrong = spark.createDataFrame([(2, "x", ["a"], 0, ["b"], 1, "c")], incremental._GROUPS.removesuffix(", snapshot int"))
+            wrong.write.parquet(f"{folder}/groups/snapshot=2")
+            assert text(incremental.report(spark, folder)) == before
+        assert incremental.add_snapshot(incremental.one_snapshot(graph, number), folder) == number
+        assert incremental.length(spark, folder) == number + 1
+        so_far = F.col("snapshot") <= number
+        tables = {name: getattr(graph, name).where(so_far) for name in ("vertices", "attributes", "edges")}
+        found = text(incremental.report(spark, folder))
+        whole = discovery.discover(replace(graph, **tables, n_snapshots=number + 1), k=3, min_count=1, prune=False)
+        assert found == text(whole)
+        assert number == 0 or found != before
+        before = found
+    supports = sorted(r.support for r in incremental.report(spark, folder).collect())
+    theta = supports[len(supports) // 2]
+    assert supports[0] < theta
+    assert [r for r in supports if r >= theta] == sorted(r.support for r in incremental.report(spark, folder, theta).collect())
+    with pytest.raises(ValueError, match="at a time"):
+        incremental.add_snapshot(graph, folder)
+    with pytest.raises(Exception, match="already exists"):
+        incremental.begin(incremental.one_snapshot(graph, 0), folder, k=3, min_count=1)
+
+
+def test_a_series_longer_than_a_mask_word(spark, tmp_path):
+    """One tuple seen at 0, 61, 62 and 70 of 71 snapshots, and a group that a second tuple joins at 70."""
+    folder = str(tmp_path / "state")
+    spark.range(71).select(F.col("id").cast("int").alias("snapshot")).write.parquet(f"{folder}/added")
+    rows = [(2, "x", ["a", "b", "c"], 0, ["p", "q"], int(t == 0), "u", t) for t in (0, 61, 62, 70)]
+    rows += [(2, "x", ["a", "b", "c"], 1, ["u", "q"], 1, v, t) for v, t in (("p", 0), ("o", 70))]
+    spark.createDataFrame(rows, incremental._GROUPS).write.partitionBy("snapshot").parquet(f"{folder}/groups")
+    (row,) = incremental.report(spark, folder).collect()
+    assert (row.lhs, row.rhs_attr, row.rhs_value) == ({"b": "p", "c": "q"}, "a", "u")
+    assert (row.delta_min, row.delta_max, row.n_present, row.n_tuples) == (1, 70, 4, 1)
+    assert row.support == pytest.approx(6 / (71 * 72 / 2))
+
+
 def test_theta_and_empty_results(spark):
     graph, _ = random_graph(spark, 7)
     assert discovery.discover(graph, k=2, min_count=10**6).count() == 0

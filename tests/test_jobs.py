@@ -50,6 +50,17 @@ def test_discover(spark, folder, tmp_path):
     assert rows.where("support > 2 / (n_tuples * 4) + 1e-12").count() == 0
 
 
+def test_extend_file_by_file(spark, folder, tmp_path):
+    """Three files added one after the other give what one job over all of them gives."""
+    main(["discover", f"{folder}/", "2", "170909", "171109", "0", f"{tmp_path}/whole", "--min-count", "10"])
+    for date in ("170909", "171009", "171109"):
+        first = ["--begin", "2", "--min-count", "10"] if date == "170909" else []
+        main(["extend", f"{tmp_path}/state", f"{folder}/imdb-{date}.nt", *first])
+    main(["report", f"{tmp_path}/state", f"{tmp_path}/grown"])
+    whole, grown = ([str(r) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()] for name in ("whole", "grown"))
+    assert sorted(whole) == sorted(grown)
+
+
 def test_sample_movies(spark, folder, tmp_path):
     main(["sample-movies", str(folder), f"{tmp_path}/out", "200"])
     lines, names = ntriples.load_folder(spark, f"{tmp_path}/out")
