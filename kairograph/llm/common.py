@@ -133,12 +133,15 @@ class BytePairs:
     """Byte-level BPE as a `tokenizers` JSON file describes it, run by the compiled `tiktoken` encoder.
 
     The vocabulary and the special tokens are read from that file. Special strings inside
-    a text count as their own ids, which is the default of `tokenizers`.
+    a text count as their own ids, which is the default of `tokenizers`. A file that asks for
+    anything else than plain byte-level pairs is an error, since its ids would differ.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
+        if unlike := _departures(model):
+            raise ValueError(f"{path} is no plain byte-level BPE: {', '.join(unlike)}")
         letters = _byte_letters()
         self.special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
         ranks = {
@@ -173,6 +176,26 @@ class BytePairs:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _departures(file: dict) -> list[str]:
+    """What in a `tokenizers` file makes its ids differ from those of `BytePairs`."""
+    model, splitting = file["model"], file.get("pre_tokenizer") or {}
+    vocab = model.get("vocab", {})
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    order = [vocab.get(piece, -1) for piece in merged]
+    found = {
+        "model type": model.get("type") != "BPE",
+        "normalizer": file.get("normalizer") is not None,
+        "pre_tokenizer": splitting.get("type") != "ByteLevel" or not splitting.get("use_regex", True),
+        "add_prefix_space": splitting.get("add_prefix_space", True),
+        "merges not in the order of their ids": order != sorted(order),
+    }
+    for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"):
+        found[name] = bool(model.get(name))
+    for name in ("single_word", "lstrip", "rstrip", "normalized"):
+        found[f"added token with {name}"] = any(x.get(name) for x in file.get("added_tokens", []))
+    return [name for name, departs in found.items() if departs]
+
+
 def _byte_letters() -> dict[str, int]:
     """Letter -> byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from kairograph.llm.common import byte_pairs, ship, text_or_empty
 
+SAMPLE_SEED = 10
+# Longer pre-tokens are encoded each time, so that the bytes of the cache are bounded with its entries.
+CACHED_CHARS = 64
+
 
 def frequent_lengths(
     docs: DataFrame, text: str, tokenizer: str, sample_rows: int = 2000, sample_chars: int = 8000, entries: int = 1 << 15
 ) -> dict[str, int]:
     """The most frequent pre-tokens of a bounded sample with their token counts.
 
-    It is only a cache: counts are the same with any table. At most `entries` are broadcast,
-    and the sample is at most `sample_rows` beginnings of `sample_chars` characters.
+    It is only a cache: counts are the same with any table. At most `entries` are broadcast. The
+    sample is beginnings of `sample_chars` characters of about `sample_rows` rows from the whole table, so that its
+    order does not matter; it costs one more scan of the texts.
     """
     pairs = byte_pairs(tokenizer)
     seen: Counter[str] = Counter()
-    for row in docs.select(F.left(text_or_empty(text), F.lit(sample_chars)).alias("t")).take(sample_rows):
+    starts = docs.select(F.left(text_or_empty(text), F.lit(sample_chars)).alias("t"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    for row in starts.sample(share, seed=SAMPLE_SEED).collect():
         seen.update(pairs.pre_token.findall(row.t))
     return {piece: len(pairs.encoder.encode_ordinary(piece)) for piece, _ in seen.most_common(entries)}
 
@@ -38,7 +45,7 @@ def count_tokens(
     """Add `name`: the number of tokens of each whole text.
 
     Pre-tokens are looked up in the broadcast table of frequent ones, then in a cache of the
-    worker of at most `cached` entries, and only then encoded. Null and empty texts have 0
+    worker of at most `cached` entries, within a text too, and only then encoded. Null and empty texts have 0
     tokens, special strings inside a text are one token each, repeated rows are counted each
     for itself, and an existing column `name` is replaced.
     """
@@ -52,18 +59,20 @@ def count_tokens(
 
         class Misses(dict):
             def __missing__(self, piece: str) -> int:
-                self[piece] = n = len(encode(piece))
+                n = len(encode(piece))
+                if len(piece) <= CACHED_CHARS:
+                    if len(self) >= base + cached:
+                        self.clear()
+                        self.update(frequent.value)
+                    self[piece] = n
                 return n
 
+        base = len(frequent.value)
         known = Misses(frequent.value)
-        base = len(known)
 
         def length(value: str | None) -> int:
             if not value:
                 return 0
-            if len(known) > base + cached:
-                known.clear()
-                known.update(frequent.value)
             return sum(
                 sum(map(known.__getitem__, split(run))) if number is None else 1 for run, number in pairs.runs(value)
             )

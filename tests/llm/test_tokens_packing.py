@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,6 +50,39 @@ def test_counts_of_empty_table(documents):
     assert count_tokens(documents([]), default_tokenizer()).count() == 0
 
 
+def test_one_text_of_many_words_and_very_long_ones(documents, library):
+    """More distinct pre-tokens in a text than the cache holds, and one that is too long for it."""
+    text = " ".join(f"w{i * 7919 % 1009}x" for i in range(3000)) + " " + "z" * 500 + " " + "w5x " * 20
+    docs = documents([(1, text, "en"), (2, text, "en")])
+    for cached in (0, 1, 100):
+        found = count_tokens(docs, default_tokenizer(), sample_rows=1, cached=cached).collect()
+        assert [r.n_tokens for r in found] == [len(ids_of(library, text))] * 2
+
+
+@pytest.mark.parametrize(
+    ("place", "value", "named"),
+    [
+        (["normalizer"], {"type": "Lowercase"}, "normalizer"),
+        (["pre_tokenizer", "add_prefix_space"], True, "add_prefix_space"),
+        (["pre_tokenizer", "type"], "Whitespace", "pre_tokenizer"),
+        (["model", "end_of_word_suffix"], "</w>", "end_of_word_suffix"),
+        (["model", "type"], "Unigram", "model type"),
+        (["added_tokens", 0, "lstrip"], True, "lstrip"),
+    ],
+)
+def test_files_that_would_be_read_wrongly_are_an_error(tmp_path, place, value, named):
+    with open(default_tokenizer(), encoding="utf-8") as file:
+        model = json.load(file)
+    at = model
+    for step in place[:-1]:
+        at = at[step]
+    at[place[-1]] = value
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(model), encoding="utf-8")
+    with pytest.raises(ValueError, match=named):
+        common.BytePairs(str(path))
+
+
 def check_packing(rows, pieces, library, limit):
     sequences = defaultdict(list)
     docs = defaultdict(list)
