@@ -612,6 +612,7 @@ def build() -> dict[str, str]:
         + parsed_rows,
         "scan_ntriples_dir": LINES + f"SELECT {FILE_NAME} AS file_name, line FROM lines",
         "scan_statements": STATEMENTS + "SELECT year, kind, subject, predicate, object FROM st",
+        "scan_turtle": STATEMENTS + "SELECT year, kind, subject, predicate, object FROM st",
         "sink_ntriples": GRAPH
         + f", gl AS ({text_of('attrs', 'edges', IMDB)}) SELECT {FILE_NAME} AS file_name, line FROM gl",
         "part_file_name": PART_NAMES,

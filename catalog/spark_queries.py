@@ -17,7 +17,7 @@ from kairograph.operators import rdf_graph, reduction, sampling
 from kairograph.plans import discovery, incremental, jobs
 from kairograph.plans.storage import new_path
 from kairograph.session import configure
-from kairograph.sources import ntriples, statements
+from kairograph.sources import ntriples, statements, turtle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +164,22 @@ def scan_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.scan_statements(spark, base)
 
 
+@query
+def scan_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = new_path(spark, "turtle")
+    blocks = jobs.write_table(star.turtle_blocks(star.statement_lines(spark, sf_dir)), "turtle-blocks", ["year", "kind"])
+    header = "".join(f"@prefix {name}: <{iri}> .\n" for name, iri in star.TURTLE_PREFIXES.items())
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0  # of its task, and so of its file
+    for year in statements.YEARS:
+        for kind in statements.KINDS:
+            wanted = blocks.where((F.col("year") == year) & (F.col("kind") == kind))
+            text = F.concat(F.when(first, header).otherwise(""), F.col("text"))
+            wanted.select(text.alias("value")).write.text(statements.statement_path(base, year, kind))
+    found, rejected = turtle.scan_turtle(spark, base)
+    lost = rejected.select("year", "kind", *[F.lit(None).cast("string").alias(name) for name in ("subject", "predicate", "object")])
+    return found.unionByName(lost)
+
+
 @query
 def sink_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "sink")

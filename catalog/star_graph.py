@@ -226,3 +226,26 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"types": types, "literals": literals, "objects": objects}
     rows = [part.withColumn("kind", F.lit(kind)) for kind, parts in kinds.items() for part in parts]
     return reduce(DataFrame.unionByName, rows).select("year", "kind", "line")
+
+
+# The prefixes of the Turtle form of the statements.
+TURTLE_PREFIXES = {
+    "res": "http://dbpedia.org/resource/",
+    "dbo": "http://dbpedia.org/ontology/",
+    "xsd": "http://www.w3.org/2001/XMLSchema#",
+}
+
+
+def turtle_blocks(lines: DataFrame) -> DataFrame:
+    """(year, kind, text): the statements of a subject as one block over several lines, with prefixes."""
+    parts = [F.regexp_extract("line", r"^(\S+) (\S+) (.*\S)\s*\.\s*$", i) for i in (1, 2, 3)]
+    subject, predicate, node = parts
+    for name, iri in TURTLE_PREFIXES.items():
+        pattern, short = rf"^((?:\".*\"\^\^)?)<{iri}(\w+)>$", f"$1{name}:$2"
+        subject, predicate, node = (F.regexp_replace(term, pattern, short) for term in (subject, predicate, node))
+    predicate = F.when(parts[1] == f"<{rdf.RDF_TYPE}>", "a").otherwise(predicate)
+    long = F.regexp_replace(F.replace(node, F.lit("\\n"), F.lit("\n")), r'(?s)^"(.*)"([^"]*)$', '"""$1"""$2')
+    node = F.when(F.contains(node, F.lit("\\")), long).otherwise(node)
+    pairs = lines.select("year", "kind", subject.alias("subject"), F.concat(predicate, F.lit(" "), node).alias("pair"))
+    blocks = pairs.groupBy("year", "kind", "subject").agg(F.array_join(F.collect_list("pair"), " ;\n  ").alias("pairs"))
+    return blocks.select("year", "kind", F.concat("subject", F.lit("\n  "), "pairs", F.lit("\n.")).alias("text"))

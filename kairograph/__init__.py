@@ -9,6 +9,7 @@ from kairograph.plans.discovery import discover
 from kairograph.session import configure
 from kairograph.sources.ntriples import load_snapshots, parse_triples, scan_lines, snapshot_dates
 from kairograph.sources.statements import scan_statements
+from kairograph.sources.turtle import scan_turtle
 
 __all__ = [
     "PropertyGraph",
@@ -28,5 +29,6 @@ __all__ = [
     "presence_by_tuple",
     "scan_lines",
     "scan_statements",
+    "scan_turtle",
     "snapshot_dates",
 ]

@@ -11,7 +11,7 @@ from kairograph.functions import rdf
 from kairograph.operators import assembly, filters, partitioning, profile
 from kairograph.plans import discovery, incremental, jobs
 from kairograph.session import configure
-from kairograph.sources import ntriples, statements
+from kairograph.sources import ntriples, statements, turtle
 
 NAMESPACES = {"imdb": rdf.IMDB_NAMESPACE, "dbpedia": rdf.DBPEDIA_NAMESPACE}
 
@@ -87,9 +87,13 @@ def partition(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def integrate(spark: SparkSession, args: argparse.Namespace) -> None:
-    source = statements.scan_statement_lines(spark, args.input, args.years)
-    statements.rejected_lines(source).write.parquet(args.rejected or f"{args.output}-rejected")
-    parsed = jobs.write_table(statements.parse_statements(source), "statements", ["kind"])
+    if args.turtle:
+        found, rejected = turtle.scan_turtle(spark, args.input, args.years)
+    else:
+        source = statements.scan_statement_lines(spark, args.input, args.years)
+        found, rejected = statements.parse_statements(source), statements.rejected_lines(source)
+    rejected.write.parquet(args.rejected or f"{args.output}-rejected")
+    parsed = jobs.write_table(found, "statements", ["kind"])
     _write(spark, jobs.integrated_lines(parsed, args.years), [f"{year}.nt" for year in args.years], args.output)
 
 
@@ -158,6 +162,7 @@ def _parser() -> argparse.ArgumentParser:
     joined = command(integrate, "input", "output")
     joined.add_argument("--years", nargs="+", default=list(statements.YEARS))
     joined.add_argument("--rejected", help="folder for the number of lines of each file that are no statement; beside the output unless given")
+    joined.add_argument("--turtle", action="store_true", help="statements may have prefixes and go over several lines")
     about = command(describe, "input", "output")
     about.add_argument("--anchor", default="movie")
     about.add_argument("--namespace", choices=sorted(NAMESPACES), default="imdb")
