@@ -101,5 +101,9 @@ def test_integrate_and_describe(spark, folder, sf_dir, tmp_path):
     main(["integrate", f"{tmp_path}/in", f"{tmp_path}/out"])
     expected = jobs.integrated_lines(statements.parse_statements(lines)).count()
     assert written(spark, tmp_path / "out").count() == expected
+    main(["integrate", f"{tmp_path}/in", f"{tmp_path}/turtle", "--turtle"])
+    assert written(spark, tmp_path / "turtle").exceptAll(written(spark, tmp_path / "out")).count() == 0
+    assert written(spark, tmp_path / "turtle").count() == expected
+    assert spark.read.parquet(f"{tmp_path}/turtle-rejected").count() == 0
     main(["describe", str(folder), f"{tmp_path}/about"])
     assert spark.read.parquet(f"{tmp_path}/about/counts").count() == 3
