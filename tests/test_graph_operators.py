@@ -492,3 +492,14 @@ def test_instance_counts_beyond_long_on_the_way(spark):
     big = big.withColumn("n", F.col("n").cast(matching.COUNT))
     product = (F.col("n") * F.col("n")).cast(matching.COUNT)
     assert str(big.select(product.alias("p")).agg(F.max("p")).first()[0]) == str(3100000000**2)
+
+
+def test_discovery_moves_numbers_and_no_names(spark, tmp_path_factory, monkeypatch):
+    """The tuples of a level, which are most of its rows, are stored as longs."""
+    folder = tmp_path_factory.mktemp("coded")
+    monkeypatch.setattr(discovery, "new_path", lambda _, name: f"{folder}/{name}")
+    discovery.discover(random_graph(spark, 7)[0], k=3, min_count=1, prune=False)
+    for level in (2, 3):
+        types = dict(spark.read.parquet(f"{folder}/tuples-{level}").dtypes)
+        assert len([name for name in types if name.startswith("value")]) == level + 1
+        assert set(types.values()) == {"int", "bigint"}

@@ -77,3 +77,14 @@ def test_unknown_names_are_an_error(spark):
     assert df.where("year = '2014'").select(place).first()[0] == 1
     with pytest.raises(Exception, match="unknown year: 2018"):
         df.select(place).collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 62, 63])
+def test_deltas_read_off_the_mask_are_those_of_the_list(spark, size):
+    presences = [[0], [size - 1], [0, size - 1], list(range(0, size, 3)), list(range(size)), [i for i in (1, 5, 11, 61) if i < size]]
+    low, high = temporal.mask_deltas(size)
+    seen = temporal.occurrences(size)
+    rows = with_masks(spark, [p for p in presences if p], size).select(
+        low.alias("a"), temporal.delta_min(seen).alias("b"), high.alias("c"), temporal.delta_max(seen).alias("d")
+    )
+    assert all((r.a, r.c) == (r.b, r.d) for r in rows.collect())
