@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
 from kairograph.operators.assembly import build_attributes, build_edges, build_graph, graph_counts, vertex_maps
+from kairograph.sources import ntriples
 from kairograph.sources.ntriples import format_attributes, format_edges, parse_triples
 from kairograph.sources.statements import parse_statements
 
@@ -185,3 +186,13 @@ def test_line_breaks_stay_on_one_line(spark):
 
     rows = spark.createDataFrame([(0, "t", "u", "a", "x\ny\rz")], "snapshot int, vtype string, uri string, attr string, value string")
     assert format_attributes(rows).first().line.endswith('"x\\ny\\rz" .')
+
+
+def test_compressed_lines_are_read_back_in_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ntriples, "FILE_LINES", 100)
+    rows = [(f"imdb-17090{i % 2}.nt", f"<a/{i}> <b> \"{i}\" .") for i in range(1000)]
+    path = f"{tmp_path}/lines"
+    ntriples.write_lines(spark.createDataFrame(rows, "file string, line string"), path, "gzip")
+    assert sorted(map(tuple, ntriples.scan_lines(spark, path).collect())) == sorted(rows)
+    files = [f for f in (tmp_path / "lines").rglob("part-*")]
+    assert len(files) >= 10 and all(f.name.endswith(".gz") for f in files)
