@@ -9,7 +9,7 @@ So texts that share one of those are all the candidates that there are, whatever
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -32,7 +32,7 @@ CELLS = 64
 ROUNDS = ((1, 16), (16, 256), (256, None))
 # Members of a bucket that are compared with each other in one step; further ones are in further blocks.
 BLOCK = 2048
-KINDS = "node long, other long, size long, cells binary, fine binary"
+KINDS = "node long, other long, size long, cells binary, fine binary, fp long"
 MOST_CELLS = 1 << 16
 SEEN = 1 << 18
 
@@ -105,14 +105,15 @@ def near_enough(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: Fraction
     return differ * (q + p) <= (q - p) * sizes
 
 
-def describe(docs: DataFrame, text: str, size: int, seed: int) -> DataFrame:
-    """Add `kind`: node, second hash, size and cells of the shingles."""
+def describe(docs: DataFrame, text: str, size: int, seed: int, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """Add `kind`: node, second hash, size and cells of the shingles, and the fingerprint of the text."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(KINDS)
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([described(t, size, seed) for t in part], columns=["node", "other", "size", "cells", "fine"])
+            rows = [(*described(t, size, seed), _signed(fingerprint(t))) for t in part]
+            yield pd.DataFrame(rows, columns=["node", "other", "size", "cells", "fine", "fp"])
 
     return docs.withColumn("kind", of(F.col(text).cast("string")))
 
@@ -313,17 +314,20 @@ def _candidates(labelled: DataFrame, low: int, high: int | None, least: Fraction
     return found.unionByName(ordered.mapInArrow(_across(least), "u long, v long")).distinct()
 
 
-def classes(source: DataFrame, kinds: DataFrame, size: int, seed: int, similarity: float, run: Scratch) -> DataFrame:
+def classes(
+    source: DataFrame, kinds: DataFrame, size: int, seed: int, similarity: float, run: Scratch, near: Callable[[DataFrame, Scratch], DataFrame]
+) -> DataFrame:
     """node, root: groups that links of at least this similarity connect.
 
     `source` has address and text of each row, `kinds` its address and kind (see `describe`). Texts of equal sets are one
     node, so copies cost nothing; texts without shingles are one set. Sets are compared by 64-bit hashes of
-    shingles. A first round links every node to one candidate at most, so that large groups are connected
+    shingles. The first links are those of near fingerprints (`near` gives pairs u, v of the nodes' node and fp), verified like all
+    others. The next round links every node to one candidate at most, so that large groups are connected
     early; the rounds after it look at all candidates of different groups. Texts are moved once for each candidate.
     """
     least = Fraction(str(similarity))
     ship(source.sparkSession)
-    nodes = kinds.groupBy("kind.node").agg(F.first("kind.size").alias("size"), F.first("kind.cells").alias("cells"), F.first("kind.fine").alias("fine"), F.min("address").alias("address"))
+    nodes = kinds.groupBy("kind.node").agg(F.first("kind.size").alias("size"), F.first("kind.cells").alias("cells"), F.first("kind.fine").alias("fine"), F.min("address").alias("address"), F.min("kind.fp").alias("fp"))
     nodes = run.stored(nodes, "nodes")
     sample = source.where(F.pmod(F.xxhash64("address"), F.lit(SAMPLE)) == 0)
     often = _tokens(sample, size, seed, None, least).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
@@ -333,9 +337,11 @@ def classes(source: DataFrame, kinds: DataFrame, size: int, seed: int, similarit
     buckets = run.stored(tokens.mapInArrow(_shared, "token long, node long, size long"), "buckets")
     cells = nodes.select("node", "cells")
 
-    alone = buckets.withColumn("label", F.col("node")).join(cells, "node")
+    links = verified(near(nodes.select("node", "fp"), run), nodes, source, size, least, run)
+    tree = run.stored(components(links, run), "components")
+    alone = buckets.join(tree, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root").join(cells, "node")
     first = _candidates(alone, 1, 2, least, run).groupBy("v").agg(F.max("u").alias("u")).select("u", "v")
-    links = verified(first, nodes, source, size, least, run)
+    links = links.unionByName(verified(first, nodes, source, size, least, run))
     for low, high in ROUNDS:
         tree = run.stored(components(links, run), "components")
         labelled = buckets.join(tree, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("label"))
@@ -352,7 +358,15 @@ def classes(source: DataFrame, kinds: DataFrame, size: int, seed: int, similarit
     return nodes.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def removed(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def removed(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    size: int,
+    similarity: float,
+    fingerprint: Callable[[str | None], int],
+    near: Callable[[DataFrame, Scratch], DataFrame],
+) -> tuple[DataFrame, DataFrame]:
     """The rows of `docs` with an address each, and the addresses of those that are not the first of their group.
 
     First is the smallest key, null keys last; of rows with the same key the least address. Rows of files are addressed
@@ -363,12 +377,12 @@ def removed(docs: DataFrame, key: str, text: str, size: int, similarity: float)
     rows = addressed(docs)
     source = rows.select("address", F.col(f"row.`{text}`").cast("string").alias("text"))
     for seed in itertools.count():
-        kinds = describe(rows.select("address", F.col(f"row.`{key}`").alias("doc"), F.col(f"row.`{text}`").alias("text")), "text", size, seed).drop("text")
+        kinds = describe(rows.select("address", F.col(f"row.`{key}`").alias("doc"), F.col(f"row.`{text}`").alias("text")), "text", size, seed, fingerprint).drop("text")
         kinds = run.stored(kinds, "kinds")
         # Sets are told apart by 128 bits: where half of these agree and not the rest, another seed is taken.
         if kinds.groupBy("kind.node").agg(F.min("kind.other").alias("a"), F.max("kind.other").alias("b")).where("a <> b").isEmpty():
             break
-    found = classes(source, kinds, size, seed, similarity, run)
+    found = classes(source, kinds, size, seed, similarity, run, near)
     order = F.struct(F.col("doc").isNull().alias("no_key"), "doc", "address")
     placed = kinds.select("kind.node", "doc", "address").join(found, "node")
     first = placed.groupBy("root").agg(F.min(order).alias("first"))

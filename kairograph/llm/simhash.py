@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm import jaccard
-from kairograph.llm.common import ship, stored
+from kairograph.llm.common import Scratch, ship, stored
 from kairograph.llm.components import components
 from kairograph.llm.shingles import hashed_shingles
 
@@ -139,9 +139,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(held)
 
 
-def links(distinct: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+def links(distinct: DataFrame, most: int = BUCKET_ROWS, run: Scratch | None = None) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that connect all that are within the distance.
 
+    The tables of the levels are among those of `run`, if given.
+
     Buckets of one fingerprint go; buckets of up to `most` are searched in one task; larger ones
     are cut by further blocks, which loses no pair, until they are small or have `FEW_BITS` open bits.
     """
@@ -154,7 +156,7 @@ def links(distinct: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
         bucket = F.xxhash64("table", F.col("fp").bitwiseAND(masks[F.col("table")]))
         rows = rows.select("fp", "table", bucket.alias("bucket"))
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = stored(rows.join(sizes, "bucket"), "simhash-buckets")
+        rows = (run.stored if run else stored)(rows.join(sizes, "bucket"), "simhash-buckets")
         last = depth == len(levels) - 1
         small = rows if last else rows.where(F.col("n") <= most)
         part = (
@@ -173,6 +175,17 @@ def links(distinct: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
     return found
 
 
+def node_pairs(nodes: DataFrame, run: Scratch) -> DataFrame:
+    """u, v: pairs of nodes (columns node, fp) with equal fingerprints, each with the least, and of least ones that `links` connects."""
+    least = run.stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    equal = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    near = links(least.select("fp"), run=run)
+    for end in "uv":
+        near = near.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), end)
+    near = near.select(F.least("least_u", "least_v").alias("u"), F.greatest("least_u", "least_v").alias("v"))
+    return equal.unionByName(near).distinct()
+
+
 def _rows_and_classes(docs: DataFrame, key: str, text: str, carry: bool) -> tuple[DataFrame, DataFrame]:
     """Stored rows (number, doc, fp and `row`), and root and component of each fingerprint."""
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
@@ -205,11 +218,12 @@ def one_of_each(
     """The rows of `docs` without near-duplicates: of each component the row with the smallest key stays.
 
     Texts are linked by fingerprints within `DISTANCE`, of shingles of three words; or, with a similarity,
-    where the Jaccard similarity of their sets of shingles is at least that. Null keys come last; of rows
+    where the Jaccard similarity of their sets of shingles is at least that: pairs of near fingerprints of these shingles are verified
+    first, and the prefix filter of `jaccard` then finds the links that fingerprints do not show. Null keys come last; of rows
     with the same key the first stays.
     """
     if similarity is not None:
-        rows, gone = jaccard.removed(docs, key, text, shingle, similarity)
+        rows, gone = jaccard.removed(docs, key, text, shingle, similarity, lambda t: fingerprint(t, shingle), node_pairs)
         # Up to so many addresses are sent to every executor, and no row is exchanged.
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
         return rows.join(gone, "address", "left_anti").select("row.*")

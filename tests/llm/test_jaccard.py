@@ -4,8 +4,8 @@ from fractions import Fraction
 import numpy as np
 
 import corpus_pipeline
-from kairograph.llm import jaccard
-from kairograph.llm.simhash import one_of_each
+from kairograph.llm import jaccard, simhash
+from kairograph.llm.simhash import node_pairs, one_of_each
 from tests.llm.test_simhash import roots
 
 
@@ -163,3 +163,25 @@ def test_fine_cells_follow_the_size():
     assert len(a[3]) == 64 and len(a[4]) == 4096
     assert jaccard.fine_enough(a[3], b[3], a[2] + b[2], least) and not jaccard.fine_enough(a[4], b[4], a[2] + b[2], least)
     assert jaccard.fine_enough(a[4], jaccard.described(one + " more", 5, 0)[4], a[2] * 2 + 1, least)
+
+
+def test_near_dedup_begins_with_near_fingerprints(documents, monkeypatch):
+    """The first pairs that are verified are those of SimHash, and connect all nodes with fingerprints of up to three bits apart."""
+    given = []
+
+    def seen(nodes, run):
+        pairs = node_pairs(nodes, run)
+        given.append((nodes.collect(), pairs.collect()))
+        return pairs
+
+    monkeypatch.setattr(simhash, "node_pairs", seen)
+    rows = planted(4, 5, 300, 2, 3)
+    docs = documents(rows)
+    kept = corpus_pipeline.simhash_near_dedup(docs.sparkSession, docs, "").count()
+    (nodes, pairs), = given
+    place = {row.node: i for i, row in enumerate(nodes)}
+    prints = [simhash.fingerprint(text, 5) for _, text, _ in rows]
+    assert {row.fp & (1 << 64) - 1 for row in nodes} == set(prints)
+    near = [(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if ((a.fp ^ b.fp) & (1 << 64) - 1).bit_count() <= 3]
+    assert pairs and kept == 4
+    assert roots(len(nodes), [(place[p.u], place[p.v]) for p in pairs]) == roots(len(nodes), near)
