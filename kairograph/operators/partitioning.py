@@ -64,20 +64,19 @@ def _anchor_part(vtype: Column, uri: Column, n_parts: int) -> Column:
 def parts_by_anchor(graph: PropertyGraph, anchor: str, n_parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """(vertex parts, edge parts): the anchors of a part, their edges, and the neighbours.
 
-    The part of an anchor is a function of its name, so edges need no lookup of it, only
-    a check that the anchor exists. An edge between anchors of two parts is in both.
+    The part of an anchor is a function of its name, worked out once for each anchor; edges take it from
+    the join that tells whether the anchor exists. An edge between anchors of two parts is in both.
     """
-    anchors = graph.vertices.where(F.col("vtype") == anchor).select(*VERTEX_KEY)
+    part = _anchor_part(F.col("vtype"), F.col("uri"), n_parts).alias("part")
+    own = graph.vertices.where(F.col("vtype") == anchor).select(*VERTEX_KEY, part)
     edges = graph.edges.where((F.col("src_type") == anchor) | (F.col("dst_type") == anchor))
     found = []
     for end, (type_name, uri_name) in zip(("src", "dst"), ENDS, strict=True):
-        known = as_end(anchors.withColumn(f"{end}_known", F.lit(True)), type_name, uri_name)
+        known = as_end(own.withColumnRenamed("part", f"{end}_part"), type_name, uri_name)
         edges = edges.join(known, ["snapshot", type_name, uri_name], "left")
-        part = _anchor_part(F.col(type_name), F.col(uri_name), n_parts)
-        found.append(F.when(F.col(f"{end}_known"), part))
+        found.append(F.col(f"{end}_part"))
     parts = F.array_distinct(F.array_compact(F.array(*found)))
     edge_parts = edges.select(*EDGE_COLUMNS, F.explode(parts).alias("part"))
-    own = anchors.select(*VERTEX_KEY, _anchor_part(F.col("vtype"), F.col("uri"), n_parts).alias("part"))
     vertex_parts = own.unionByName(vertices_of_parts(graph.vertices, edge_parts)).distinct()
     return vertex_parts, edge_parts
 
