@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kairograph.functions import rdf
 from kairograph.model import PropertyGraph
 from kairograph.operators import assembly, partitioning
-from kairograph.plans import jobs
+from kairograph.plans import incremental, jobs
 from kairograph.sources import ntriples
 
 EDGES = "snapshot int, src_type string, src_uri string, rel string, dst_type string, dst_uri string"
@@ -55,3 +55,26 @@ def test_parsed_graph_is_the_graph_of_its_triples(spark):
         [(0, "a", "1", "name", "y"), (0, rdf.UNKNOWN_TYPE, rdf.UNKNOWN_RESOURCE, "name", "z")]
     )
     assert stored.edges.count() == 2
+
+
+def test_a_growing_series_keeps_its_tuples_as_numbers(spark, tmp_path):
+    """A value has one number for the whole series, and a tuple is new in one snapshot only."""
+    edges = spark.createDataFrame(
+        [(t, s, f"{s}{i}", "r", d, f"{d}{i}") for t in (0, 1) for s, d in (("a", "b"), ("b", "c")) for i in range(4)], EDGES
+    )
+    ends = [edges.select("snapshot", F.col(f"{e}_type").alias("vtype"), F.col(f"{e}_uri").alias("uri")) for e in ("src", "dst")]
+    vertices = ends[0].unionByName(ends[1]).distinct()
+    later = (F.col("snapshot") == 1) & (F.col("uri") == "c3")
+    attributes = vertices.select("*", F.lit("n").alias("attr"), F.when(later, "new").otherwise(F.col("uri")).alias("value"))
+    graph = PropertyGraph(vertices, attributes, edges, 2)
+    folder = str(tmp_path / "state")
+    incremental.begin(incremental.one_snapshot(graph, 0), folder, k=2, min_count=1, prune=False)
+    for number in (0, 1):
+        incremental.add_snapshot(incremental.one_snapshot(graph, number), folder)
+    names = spark.read.parquet(f"{folder}/names")
+    assert Counter(r.value for r in names.where("snapshot = 0").collect()) == Counter(f"{t}{i}" for t in "abc" for i in range(4))
+    assert [r.value for r in names.where("snapshot = 1").collect()] == ["new"]
+    assert names.select("id").distinct().count() == 13
+    tuples = spark.read.parquet(f"{folder}/tuples-2")
+    assert dict(tuples.dtypes)["value0"] == "bigint"
+    assert Counter((r.snapshot, r.n) for r in tuples.collect()) == Counter({(0, 1): 4, (1, 0): 3, (1, 1): 1})
