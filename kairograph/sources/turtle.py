@@ -70,15 +70,20 @@ def _resolved_iri(iri: Column, base: Column) -> Column:
 def _named(name: Column) -> Column:
     """The last declaration of a name before a row, without its brackets; null if there is none."""
     place = F.struct("block", "seq")
-    before = F.filter(F.col("names")[name], lambda d: F.struct(d["block"], d["seq"]) < place)
-    return unescape(F.btrim(F.try_element_at(before, F.lit(-1))["iri"], F.lit("<>")))
+    found = F.col("names")[name]
+    # Mostly a name is declared once in a file; no function over the declarations is needed then, which Spark interprets.
+    one = F.get(found, F.lit(0))
+    before = F.filter(found, lambda d: F.struct(d["block"], d["seq"]) < place)
+    only = F.when(F.struct(one["block"], one["seq"]) < place, one["iri"])
+    return F.when(F.size(found) == 1, only).otherwise(F.try_element_at(before, F.lit(-1))["iri"])
 
 
 def _whole(term: Column) -> Column:
     """The IRI or blank node that a term stands for; null if its prefix is not declared."""
-    base = _named(F.lit("@base"))
+    base = F.col("base")
     plain = unescape(F.substr(term, F.lit(2), F.length(term) - 2))
-    local = F.regexp_replace(F.substr(term, F.instr(term, ":") + 1), r"\\(.)", "$1")
+    local = F.substr(term, F.instr(term, ":") + 1)
+    local = F.when(F.contains(local, F.lit("\\")), F.regexp_replace(local, r"\\(.)", "$1")).otherwise(local)
     prefixed = F.concat(_resolved_iri(_named(F.substring_index(term, ":", 1)), base), local)
     return (
         F.when(F.startswith(term, F.lit("<")), _resolved_iri(plain, base))
@@ -87,6 +92,12 @@ def _whole(term: Column) -> Column:
     )
 
 
+def _declared(term: Column) -> Column:
+    """Whether `_whole` finds the prefix of a term."""
+    plain = F.startswith(term, F.lit("<")) | F.startswith(term, F.lit("_:"))
+    return F.when(plain, F.lit(True)).otherwise(_named(F.substring_index(term, ":", 1)).isNotNull())
+
+
 def read_turtle(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """((file, subject, predicate, object), (file, n)): statements, and the number of rejected ones by file.
 
@@ -122,22 +133,27 @@ def read_turtle(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, D
     found = body.where(~F.col("opening")).unionByName(opening).unionByName(joined.where(F.col("kind") != "start"))
 
     declared = found.where(F.col("kind") == "prefix").groupBy("file", "subject").agg(
-        F.sort_array(F.collect_list(F.struct("block", "seq", F.col("object").alias("iri")))).alias("places")
+        F.sort_array(F.collect_list(F.struct("block", "seq", unescape(F.btrim("object", F.lit("<>"))).alias("iri")))).alias("places")
     )
     names = declared.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("subject", "places"))).alias("names"))
     triples = found.where(F.col("kind") == "triple").join(names, "file", "left")
     tag = F.col("tag")
+    has_type = F.col("lexical").isNotNull() & (tag != "") & ~F.startswith(tag, F.lit("@"))
     suffix = F.when(tag == "", "").when(F.startswith(tag, F.lit("@")), tag).otherwise(F.concat(F.lit("^^"), _whole(tag)))
     literal = F.concat(unescape(F.col("lexical")), suffix)
-    whole = triples.select(
-        "file",
+    based = triples.withColumn("base", _named(F.lit("@base")))
+    whole = F.struct(
         _whole(F.col("subject")).alias("subject"),
         _whole(F.col("predicate")).alias("predicate"),
         F.when(F.col("lexical").isNotNull(), literal).otherwise(_whole(F.col("object"))).alias("object"),
     )
+    # `inline` keeps the terms from being worked out a second time by a filter on them.
+    inlined = based.select("file", F.inline(F.array(whole)))
     usable = F.col("subject").isNotNull() & F.col("predicate").isNotNull() & F.col("object").isNotNull()
-    rejected = found.where(F.col("kind") == "rejected").select("file").unionAll(whole.where(~usable).select("file"))
-    return whole.where(usable), rejected.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(has_type, _declared(tag)).when(F.col("lexical").isNotNull(), F.lit(True)).otherwise(_declared(F.col("object")))
+    undeclared = triples.where(~(_declared(F.col("subject")) & _declared(F.col("predicate")) & last))
+    rejected = found.where(F.col("kind") == "rejected").select("file").unionAll(undeclared.select("file"))
+    return inlined.where(usable), rejected.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_turtle(

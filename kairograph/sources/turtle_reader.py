@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 
@@ -35,6 +36,19 @@ _TOKEN = re.compile(
 _NUMBER = re.compile(r"(?P<integer>[+-]?[0-9]+)|(?P<decimal>[+-]?[0-9]*\.[0-9]+)|(?P<double>[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)")
 _AFTER = {".": 3, ";": 2, ",": 1}
 
+# What `_plain` reads: the rest of a statement from its subject (3), predicate (2) or object (1) to its mark. The terms are
+# those that `_TOKEN` finds, of the common kinds only; a name ends where neither a dot nor a letter can go on with it.
+_PLAIN_NAME = r"[A-Za-z]\w*+:\w++(?=[\s;,]|\.\s)"
+_PLAIN_TERM = rf"{_IRI}|{_PLAIN_NAME}"
+_PLAIN_LITERAL = rf'"([^"\\\n\r]*+)"(?!")(?:@([A-Za-z]++(?:-[A-Za-z0-9]++)*+)|\^\^({_PLAIN_TERM}))?+'
+_PLAIN_END = rf"(?:({_PLAIN_TERM})|{_PLAIN_LITERAL})\s*+([;,]|\.(?![0-9]))"
+_BLANK = r"[\s\ufeff]"
+_PLAIN = {
+    3: re.compile(rf"{_BLANK}*+({_PLAIN_TERM}){_BLANK}++({_PLAIN_TERM}|a(?=\s)){_BLANK}++{_PLAIN_END}"),
+    2: re.compile(rf"{_BLANK}*+()({_PLAIN_TERM}|a(?=\s)){_BLANK}++{_PLAIN_END}"),
+    1: re.compile(rf"{_BLANK}*+()(){_PLAIN_END}"),
+}
+
 ROW_COLUMNS = ["seq", "kind", "opening", "subject", "predicate", "object", "lexical", "tag"]
 
 
@@ -160,22 +174,60 @@ class Reader:
 
     def text(self, text: str) -> None:
         """Read whole lines that neither start nor end inside a long literal."""
-        for token in _TOKEN.finditer(text):
-            if token["skip"]:
-                continue
-            if token["mark"]:
-                self.mark(token["mark"])
-            elif token["iri"] or token["directive"]:
-                self.add((token[0], None, None))
-            elif token["literal"]:
-                whole = token["literal"]
-                width = 3 if len(whole) >= 6 and whole[:3] in LONG_MARKS else 1
-                tag = "@" + token["lang"] if token["lang"] else token["datatype"] or ""
-                self.add(("", whole[width:-width], tag))
-            elif token["name"]:
-                self.add(_word(token["name"]))
-            elif not self.broken:
-                self._break()
+        self.texts([text])
+
+    def texts(self, units: list[str]) -> None:
+        """Read texts as by `text`, one after the other. What is plain is read a statement at a time."""
+        whole, at, stop = "".join(units), 0, 0
+        ends = accumulate(map(len, units))
+        while at < len(whole):
+            if not self.run and self.known and not self.broken:
+                at = self._plain(whole, at)
+            while stop <= at and at < len(whole):
+                stop = next(ends)
+            if at < len(whole):
+                token = _TOKEN.match(whole, at, stop)  # no term reaches over the end of a text
+                at = token.end()
+                self._token(token)
+
+    def _plain(self, text: str, at: int) -> int:
+        """Read statements without escapes, comments or directives, as the terms one by one would be; where they end."""
+        emit, opening = self.rows.append, self.opening
+        subject, predicate, expect, seq = self.subject, self.predicate, self.expect, self.seq
+        while found := _PLAIN[expect].match(text, at):
+            at = found.end()
+            first, second, term, lexical, lang, datatype, mark = found.groups()
+            if expect == 3:
+                subject = first
+            if expect >= 2:
+                predicate = RDF_TYPE if second == "a" else second
+            if lexical is None:
+                emit((seq, "triple", opening, subject, predicate, term, None, None))
+            else:
+                emit((seq, "triple", opening, subject, predicate, "", lexical, "@" + lang if lang else datatype or ""))
+            seq += 1
+            expect = _AFTER[mark]
+            if expect == 3:
+                opening, subject, predicate = False, None, None
+        self.opening, self.subject, self.predicate, self.expect, self.seq = opening, subject, predicate, expect, seq
+        return at
+
+    def _token(self, token: re.Match) -> None:
+        if token["skip"]:
+            return
+        if token["mark"]:
+            self.mark(token["mark"])
+        elif token["iri"] or token["directive"]:
+            self.add((token[0], None, None))
+        elif token["literal"]:
+            whole = token["literal"]
+            width = 3 if len(whole) >= 6 and whole[:3] in LONG_MARKS else 1
+            tag = "@" + token["lang"] if token["lang"] else token["datatype"] or ""
+            self.add(("", whole[width:-width], tag))
+        elif token["name"]:
+            self.add(_word(token["name"]))
+        elif not self.broken:
+            self._break()
 
     def end(self) -> dict:
         names = ("head", "run", "subject", "predicate", "expect", "broken", "opening")
@@ -271,9 +323,10 @@ def read_splits(open_at: dict) -> Callable:
             state = first = starts[0] if starts else ""
             reader, head, held = Reader(known=block == 0), [], []
             in_head = bool(state)
+            units: list[str] = []
             for line in lines:
                 text = line + "\n"
-                if state or any(mark in text for mark in LONG_MARKS):
+                if state or '"""' in line or "'''" in line:
                     state = state_after(text, state)
                     held.append(text)
                     if state:
@@ -282,10 +335,14 @@ def read_splits(open_at: dict) -> Callable:
                 if in_head:
                     head, in_head = [text], False
                     continue
-                reader.text(text)
+                units.append(text)
+                if len(units) >= 1_000:
+                    reader.texts(units)
+                    units = []
                 if len(reader.rows) >= 10_000:
                     yield _frame(file, block, reader.rows)
                     reader.rows = []
+            reader.texts(units)
             tail = "".join(held)
             if in_head:
                 head, tail = [tail], ""
