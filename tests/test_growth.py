@@ -1,14 +1,17 @@
 """Work that is done once per vertex or once per line, and not once per edge or once per reading."""
 
+import hashlib
+import random
 from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
 from kairograph.model import PropertyGraph
-from kairograph.operators import assembly, partitioning
+from kairograph.operators import assembly, partitioning, patterns, reduction, sampling
 from kairograph.plans import incremental, jobs
-from kairograph.sources import ntriples
+from kairograph.sources import ntriples, turtle_reader
 
 EDGES = "snapshot int, src_type string, src_uri string, rel string, dst_type string, dst_uri string"
 
@@ -78,3 +81,76 @@ def test_a_growing_series_keeps_its_tuples_as_numbers(spark, tmp_path):
     tuples = spark.read.parquet(f"{folder}/tuples-2")
     assert dict(tuples.dtypes)["value0"] == "bigint"
     assert Counter((r.snapshot, r.n) for r in tuples.collect()) == Counter({(0, 1): 4, (1, 0): 3, (1, 1): 1})
+
+
+def test_plain_statements_are_read_like_their_terms(monkeypatch):
+    rng = random.Random(11)
+    parts = ["<a>", "p:b", "_:c", "a", "'x'", '"x"', '""', '"y"@en', '"y"@en-', '"5"^^x:int', '"5"^^<t>', '"5" ^^<t>', '"z\\"q"', "p:b.", "p:b.c",
+             "x:é_1", ":n", "5", "5.5", "true", "# c .", "@prefix q: <i> .", "PREFIX r: <j>", ";", ",", ".", ".", "[", '"', "<a> p:b <c> .",
+             "<a> a x:T ;", 'p:d "o", "q";', "x:s x:p x:o, x:q.", "\\", "\ufeff", "<a> <b>", "^^<t>"]
+
+    def read(units, known, plain):
+        reader = turtle_reader.Reader(known)
+        if not plain:
+            monkeypatch.setattr(reader, "_plain", lambda text, at: at)
+            for unit in units:
+                reader.text(unit)
+        else:
+            reader.texts(units)
+        return reader.rows, reader.end()
+
+    for _ in range(4000):
+        units = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\t"]) for _ in range(rng.randint(0, 6))) + "\n" for _ in range(rng.randint(0, 5))]
+        known = rng.random() < 0.7
+        assert read(units, known, True) == read(units, known, False), units
+
+
+def test_plain_statements_are_not_read_term_by_term(monkeypatch):
+    reader, terms = turtle_reader.Reader(known=True), []
+    monkeypatch.setattr(reader, "_token", lambda token: terms.append(token) if not token["skip"] else None)
+    reader.texts([f'x:s{i}\n  a x:T ;\n  x:p "v{i}"^^x:t, <o>\n.\n' for i in range(100)])
+    assert len(reader.rows) == 300 and not terms
+
+
+def test_first_distinct_edges_when_copies_fill_the_first_rows(spark):
+    """The first edges in hash order have many copies, so a histogram of rows stops too early at first."""
+    keys = sorted((sampling_hash("s", ("a", f"x{i}", "r", "b", "y")), f"x{i}") for i in range(60))
+    rows = [(t, "a", uri, "r", "b", "y") for t in (0, 1) for place, (_, uri) in enumerate(keys) for _ in range(30 if t and place < 5 else 1)]
+    got = sampling._first_distinct(spark.createDataFrame(rows, EDGES), 20, "s").collect()
+    assert Counter((r.snapshot, r.src_uri) for r in got) == Counter((t, uri) for t in (0, 1) for _, uri in keys[:20])
+    everything = sampling._first_distinct(spark.createDataFrame(rows, EDGES), 100, "s")
+    assert everything.count() == 120
+    assert sampling._first_distinct(spark.createDataFrame([], EDGES), 5, "s").count() == 0
+
+
+def sampling_hash(seed, key):
+    return hashlib.md5(chr(31).join([seed, *key]).encode()).hexdigest()
+
+
+def test_images_of_patterns_share_what_is_beyond_an_edge(spark):
+    rng = random.Random(4)
+    kinds = [("a", "r", "b"), ("c", "s", "b"), ("b", "t", "d")]
+    rows = [(rng.randrange(3), s, f"{rng.randrange(9)}", rel, d, f"{rng.randrange(9)}") for s, rel, d in kinds for _ in range(14)]
+    rows += [(0, "a", None, "r", "b", "1"), (1, "a", "77", "r", "b", None), (None, "a", "78", "r", "b", "1"), (2, "c", "1", "s", "b", None)]
+    vertices = spark.createDataFrame([], "snapshot int, vtype string, uri string")
+    graph = PropertyGraph(vertices, vertices, spark.createDataFrame(rows, EDGES), 3, closed=True)
+    around = reduction.Surroundings(graph)
+    for size in (1, 2, 3):
+        for chosen in combinations(kinds, size):
+            plain = set()
+            for edge, table in reduction.reduced_edges(graph, chosen).items():
+                plain |= {pair for r in table.collect() for pair in ((edge.src, r.src_uri), (edge.dst, r.dst_uri))}
+            found = [tuple(r) for r in reduction.images(graph, chosen, around).collect()]
+            assert sorted(found, key=str) == sorted(plain, key=str), chosen
+            support = reduction.image_support(graph, patterns.make_pattern(chosen), around).first().support
+            types = {t for s, _, d in chosen for t in (s, d)}
+            assert support == min(sum(v == t for v, _ in plain) for t in types)
+    assert len(around.found) == 6 + 6 + 3  # ends, ends with one branch, ends with both
+
+
+def test_lines_are_formatted_once(spark):
+    rows = [(0, "a", "1", "n", "x \\"), (0, "a", "2", "n", "y\\"), (0, "a", "3", "n", None), (0, None, "4", "n", "z"), (0, "a", "5", None, "z")]
+    attributes = spark.createDataFrame(rows, "snapshot int, vtype string, uri string, attr string, value string")
+    lines = ntriples.format_attributes(attributes)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert sorted(r.line[-6:] for r in lines.collect()) == [">".join(["/n", ' "x" .'])[-6:], ">".join(["/n", ' "y" .'])[-6:]]
