@@ -27,21 +27,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at most, and none that has a lesser one itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
     """node, root of every node with an edge (u, v): the least node that it is connected with.
 
     Each round joins a table of one row per node, so a node with very many edges is only a skewed
-    side that adaptive execution splits. A chain of n nodes takes about log n rounds.
+    side that adaptive execution splits. A chain of n nodes takes about log n rounds; edges that lead to the
+    least nodes already take none.
     The tables of the rounds are among those of `run`, if given.
     """
     kept = run.stored if run else stored
     edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if state == before or not state["n"]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
+    while not _is_forest(edges):
         edges = kept(_small_star(_large_star(edges)), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

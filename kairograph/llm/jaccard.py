@@ -256,7 +256,10 @@ def _some(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int, least: Fraction, run: Scratch) -> DataFrame:
-    """The pairs (u, v) that are similar: thinned by the finer cells of their shingles, then compared shingle by shingle."""
+    """The pairs (u, v) that are similar: thinned by the finer cells of their shingles, then compared shingle by shingle.
+
+    Where no pair is left, the steps after that have nothing to do and are not planned.
+    """
 
     @F.pandas_udf("boolean")
     def can(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -272,7 +275,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int, l
     pairs = run.stored(pairs, "pairs")
     u, v = ends(nodes.select("node", "size", "fine"))
     thin = pairs.join(u, "u").join(v, "v").where(can("fine_u", "fine_v", F.col("size_u") + F.col("size_v"))).select("u", "v")
+    if pairs.isEmpty():
+        return pairs
     thin = run.stored(thin, "candidates")
+    if thin.isEmpty():
+        run.drop(pairs)
+        return thin
     wanted = thin.select(F.col("u").alias("node")).unionByName(thin.select(F.col("v").alias("node"))).distinct()
     wanted = run.stored(nodes.select("address", "node").join(wanted, "node", "left_semi").select("address", "node"), "wanted")
     some = run.stored(_some(source, wanted), "texts")
@@ -332,18 +340,28 @@ def classes(
     sample = source.where(F.pmod(F.xxhash64("address"), F.lit(SAMPLE)) == 0)
     often = _tokens(sample, size, seed, None, least).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     with freed_shuffles(source.sparkSession):
-        common = Common(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+        # As columns: a row object for each shingle takes many times the memory of its number.
+        often = often.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
+    common = Common(often["token"].to_numpy().view(np.uint64))
     tokens = _tokens(source, size, seed, common, least).repartition("token").sortWithinPartitions("token", "node")
     buckets = run.stored(tokens.mapInArrow(_shared, "token long, node long, size long"), "buckets")
     cells = nodes.select("node", "cells")
 
     links = verified(near(nodes.select("node", "fp"), run), nodes, source, size, least, run)
     tree = run.stored(components(links, run), "components")
+
+    def grown(tree: DataFrame, new: DataFrame) -> DataFrame:
+        """The groups of `tree` after further links; the same table if there are none."""
+        if new.isEmpty():
+            return tree
+        known = tree.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
+        return run.stored(components(known.unionByName(new), run), "components")
+
     alone = buckets.join(tree, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root").join(cells, "node")
     first = _candidates(alone, 1, 2, least, run).groupBy("v").agg(F.max("u").alias("u")).select("u", "v")
-    links = links.unionByName(verified(first, nodes, source, size, least, run))
+    new = verified(first, nodes, source, size, least, run)
     for low, high in ROUNDS:
-        tree = run.stored(components(links, run), "components")
+        tree = grown(tree, new)
         labelled = buckets.join(tree, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("label"))
         open_ = labelled.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
         open_ = open_.where(F.col("a") < F.col("b")).where(F.col("n") > low).select("token")
@@ -352,9 +370,8 @@ def classes(
             break
         new = verified(_candidates(labelled, low, high, least, run), nodes, source, size, least, run)
         run.drop(labelled)
-        links = tree.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(new)
     else:
-        tree = run.stored(components(links, run), "components")
+        tree = grown(tree, new)
     return nodes.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

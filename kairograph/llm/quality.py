@@ -220,9 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     job = texts.mapInArrow(_count_job(labelled), "kind long, bucket long, n long")
     vectors = np.zeros((2, KINDS * BUCKETS))
-    # One row per bucket, however large the corpus.
-    sums = job.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    vectors[sums.kind, sums.bucket] = sums.n
+    # One row per bucket, however large the corpus; as columns, since row objects take many times the memory.
+    sums = job.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    vectors[sums["kind"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     if not vectors[1].any():
         return Model(np.zeros(KINDS * BUCKETS))
     model = Model.of(vectors[1], vectors[0])

@@ -5,6 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 from kairograph.llm import jaccard, simhash
+from kairograph.llm.common import Scratch
 from kairograph.llm.simhash import node_pairs, one_of_each
 from tests.llm.test_simhash import roots
 
@@ -185,3 +186,15 @@ def test_near_dedup_begins_with_near_fingerprints(documents, monkeypatch):
     near = [(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if ((a.fp ^ b.fp) & (1 << 64) - 1).bit_count() <= 3]
     assert pairs and kept == 4
     assert roots(len(nodes), [(place[p.u], place[p.v]) for p in pairs]) == roots(len(nodes), near)
+
+
+def test_texts_without_candidates_are_planned_once(documents, monkeypatch):
+    """Pairs that cannot be similar end at the first table: no texts are moved and no groups are worked out again."""
+    names = []
+    stored = Scratch.stored
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, name, **more: names.append(name) or stored(self, df, name, **more))
+    rows = [(i, " ".join(f"t{i}w{x}" for x in range(30)), "a") for i in range(20)]
+    check(rows, documents(rows))
+    assert names.count("pairs") == 2
+    assert not {"candidates", "wanted", "texts", "links"} & set(names)
+    assert names.count("components") == 1

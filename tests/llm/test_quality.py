@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -139,3 +140,16 @@ def test_empty_table(documents, spark):
 
 def test_halves_are_even():
     assert 0.4 < np.mean([fits(i) for i in range(1000)]) < 0.6
+
+
+def test_counts_reach_the_driver_as_columns(documents, spark):
+    """A row object for each of the buckets would take some hundred bytes of the driver."""
+    text = " ".join(f"w{i}" for i in range(60_000))
+    docs = documents([(0, text, "a")])
+    labels = spark.createDataFrame([(None, 1)], "doc_id long, quality int")
+    fit(docs, labels)
+    tracemalloc.start()
+    assert not fit(docs, labels).ratio.any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20

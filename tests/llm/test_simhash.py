@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from kairograph.llm import simhash
+from kairograph.llm.common import Scratch
 from kairograph.llm.components import components
 from kairograph.llm.simhash import connect, fingerprint, links, near_duplicates, one_of_each
 
@@ -137,3 +138,15 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4000), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1300), 1000), 4000: 4000, 5000: 4000}
+
+
+@pytest.mark.parametrize(
+    ("pairs", "want", "rounds"),
+    [([(2, 1), (1, 3), (3, 2)], {1: 1, 2: 1, 3: 1}, 1), ([(9, 1), (8, 1), (7, 2)], {9: 1, 8: 1, 1: 1, 7: 2, 2: 2}, 0), ([], {}, 0)],
+)
+def test_components_take_no_round_to_confirm(spark, pairs, want, rounds):
+    """Each round is a table, several shuffles and broadcasts that the driver plans and holds."""
+    run = Scratch(spark, "rounds")
+    found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long"), run).collect()}
+    assert found == want
+    assert run.n == 1 + rounds
