@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions import rdf
+from kairograph.functions.temporal import WORD_BITS, one_bit
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, VERTEX_KEY, PropertyGraph
 from kairograph.operators.assembly import ENDS, as_end, endpoints
 from kairograph.plans.ranking import compact_copies, expand_copies, rank_by_hash
@@ -55,6 +57,43 @@ def vertices_of_parts(vertices: DataFrame, edge_parts: DataFrame, *keep: str) ->
     return ends.join(vertices.select(*VERTEX_KEY), VERTEX_KEY, "left_semi").select(*VERTEX_KEY, "part", *keep)
 
 
+def vertices_on_grids(vertices: DataFrame, placed: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """(vertex, part, n_parts) for the existing end vertices of the edges that `placed_on_grids` has placed.
+
+    The parts of a vertex are gathered as bits, one row per vertex for all grids.
+    """
+    names = [f"part_{n}" for n in numbers]
+    ends = F.array(*[F.struct(F.col(t).alias("vtype"), F.col(u).alias("uri")) for t, u in ENDS])
+    rows = _gathered_parts(vertices, placed.select("snapshot", *names, F.inline(ends)), numbers)
+    parts = [F.struct(F.lit(n).alias("n_parts"), F.lit(p).alias("part"), _holds(n, p).alias("held")) for n in numbers for p in range(n)]
+    return rows.select(*VERTEX_KEY, F.inline(F.array(*parts))).where("held").select(*VERTEX_KEY, "part", "n_parts")
+
+
+def _gathered_parts(vertices: DataFrame, ends: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """(vertex, bits of its parts by grid) of the vertices that are among the ends, whose columns `part_<n>` are below n or null.
+
+    `vertices` may have such columns as well. Copies are merged before the shuffle, and there is no join.
+    """
+    words = [(n, w) for n in numbers for w in range(-(-n // WORD_BITS))]
+
+    def bits(rows: DataFrame, known: bool) -> DataFrame:
+        place = {n: F.col(f"part_{n}") if f"part_{n}" in rows.columns else F.lit(None).cast("int") for n in numbers}
+        inside = [one_bit(place[n] - w * WORD_BITS) for n, w in words]
+        return rows.select(*VERTEX_KEY, F.lit(known).alias("known"), *[b.alias(f"bits_{n}_{w}") for b, (n, w) in zip(inside, words, strict=True)])
+
+    # A null key is equal to none, as in a join.
+    whole = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in VERTEX_KEY])
+    both = bits(vertices, True).unionByName(bits(ends.where(whole), False))
+    united = [F.bit_or(f"bits_{n}_{w}").alias(f"bits_{n}_{w}") for n, w in words]
+    return both.groupBy(*VERTEX_KEY).agg(F.max("known").alias("known"), *united).where("known").drop("known")
+
+
+def _holds(n: int, part: int) -> Column:
+    """Whether a vertex is in this part of n."""
+    bit = F.lit(1 << part % WORD_BITS).cast("long")
+    return F.col(f"bits_{n}_{part // WORD_BITS}").bitwiseAND(bit) != 0
+
+
 def _anchor_part(vtype: Column, uri: Column, n_parts: int) -> Column:
     """Part of an anchor: the Java hash of its widened 32-bit id, which is never negative."""
     number = rdf.vertex_id(uri, vtype)
@@ -116,13 +155,21 @@ def parts_on_grid(edges: DataFrame, n_parts: int = PARTS) -> DataFrame:
     return edges.select(*EDGE_COLUMNS, grid_part(src, dst, n_parts).cast("int").alias("part"))
 
 
-def parts_on_grids(edges: DataFrame, numbers: Sequence[int]) -> DataFrame:
-    """The parts of several grids by `n_parts`; the ids of an edge are worked out once for all of them."""
+def placed_on_grids(edges: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """Each edge once, with its part on the grid of n as `part_<n>`; its ids are worked out once for all of them."""
     ids = edges.select(*EDGE_COLUMNS, *[rdf.vertex_id(F.col(uri), F.col(vtype)).alias(uri[:3]) for vtype, uri in ENDS])
-    parts = [
-        F.struct(F.lit(n).alias("n_parts"), grid_part(F.col("src"), F.col("dst"), n).cast("int").alias("part")) for n in numbers
-    ]
-    return ids.select(*EDGE_COLUMNS, F.inline(F.array(*parts)))
+    return ids.select(*EDGE_COLUMNS, *[grid_part(F.col("src"), F.col("dst"), n).cast("int").alias(f"part_{n}") for n in numbers])
+
+
+def on_each_grid(placed: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """A row for each grid by `n_parts`, from edges with their parts on all of them."""
+    parts = [F.struct(F.lit(n).alias("n_parts"), F.col(f"part_{n}").alias("part")) for n in numbers]
+    return placed.select(*EDGE_COLUMNS, F.inline(F.array(*parts)))
+
+
+def parts_on_grids(edges: DataFrame, numbers: Sequence[int]) -> DataFrame:
+    """The parts of several grids by `n_parts`."""
+    return on_each_grid(placed_on_grids(edges, numbers), numbers)
 
 
 def edge_rows(edge_parts: DataFrame) -> DataFrame:
