@@ -14,9 +14,12 @@ from kairograph.functions.temporal import WORD_BITS, one_bit
 from kairograph.model import EDGE_COLUMNS, EDGE_KEY, VERTEX_KEY, PropertyGraph
 from kairograph.operators.assembly import ENDS, as_end, endpoints
 from kairograph.plans.ranking import compact_copies, expand_copies, rank_by_hash
+from kairograph.plans.storage import write_table
 
 # Default number of parts, and the prime of the two-dimensional scheme.
 PARTS = 4
+# Parts are gathered as bits up to this number of them.
+MOST_BITS = 8 * WORD_BITS
 MIXING_PRIME = 1125899906842597
 MIXING_LESS = 2**50 - MIXING_PRIME
 
@@ -104,20 +107,36 @@ def parts_by_anchor(graph: PropertyGraph, anchor: str, n_parts: int = PARTS) ->
     """(vertex parts, edge parts): the anchors of a part, their edges, and the neighbours.
 
     The part of an anchor is a function of its name, worked out once for each anchor; edges take it from
-    the join that tells whether the anchor exists. An edge between anchors of two parts is in both.
+    the join that tells whether the anchor exists. An edge between anchors of two parts is in both. An edge with an anchor
+    at one end only is moved once, to that end; the edges of the parts are stored, and their other ends are gathered with the
+    vertices.
     """
     part = _anchor_part(F.col("vtype"), F.col("uri"), n_parts).alias("part")
     own = graph.vertices.where(F.col("vtype") == anchor).select(*VERTEX_KEY, part)
-    edges = graph.edges.where((F.col("src_type") == anchor) | (F.col("dst_type") == anchor))
+    at_src, at_dst = (F.coalesce(F.col(type_name) == anchor, F.lit(False)) for type_name, _ in ENDS)
+    near = F.when(at_src, F.col("src_uri")).otherwise(F.col("dst_uri"))
+    single = graph.edges.where(at_src != at_dst).withColumn("uri", near).join(own.drop("vtype"), ["snapshot", "uri"])
+    edges = graph.edges.where(at_src & at_dst)
     found = []
     for end, (type_name, uri_name) in zip(("src", "dst"), ENDS, strict=True):
         known = as_end(own.withColumnRenamed("part", f"{end}_part"), type_name, uri_name)
         edges = edges.join(known, ["snapshot", type_name, uri_name], "left")
         found.append(F.col(f"{end}_part"))
     parts = F.array_distinct(F.array_compact(F.array(*found)))
-    edge_parts = edges.select(*EDGE_COLUMNS, F.explode(parts).alias("part"))
-    vertex_parts = own.unionByName(vertices_of_parts(graph.vertices, edge_parts)).distinct()
-    return vertex_parts, edge_parts
+    double = edges.select(*EDGE_COLUMNS, F.explode(parts).alias("part"))
+    edge_parts = write_table(single.select(*EDGE_COLUMNS, "part").unionByName(double), "anchor-edges")
+    if n_parts > MOST_BITS:
+        return own.unionByName(vertices_of_parts(graph.vertices, edge_parts)).distinct(), edge_parts
+    # An end is new to a part where the other end is its anchor.
+    others = F.array(*[F.struct(F.when(at, F.col(t)).alias("vtype"), F.when(at, F.col(u)).alias("uri")) for at, (t, u) in zip((at_dst, at_src), ENDS, strict=True)])
+    name = f"part_{n_parts}"
+    ends = edge_parts.select("snapshot", F.col("part").alias(name), F.inline(others))
+    is_anchor = F.col("vtype") == anchor
+    placed = graph.vertices.select(*VERTEX_KEY, F.when(is_anchor, _anchor_part(F.col("vtype"), F.col("uri"), n_parts)).alias(name))
+    held = [F.struct(F.lit(p).alias("part"), _holds(n_parts, p).alias("held")) for p in range(n_parts)]
+    rows = _gathered_parts(placed, ends, [n_parts]).select(*VERTEX_KEY, F.inline(F.array(*held))).where("held").drop("held")
+    nameless = own.where(F.col("uri").isNull()).distinct()  # is in no part
+    return rows.unionByName(nameless), edge_parts
 
 
 def _wrapped_product(number: Column) -> Column:
