@@ -63,21 +63,23 @@ def vertices_of_parts(vertices: DataFrame, edge_parts: DataFrame, *keep: str) ->
 def vertices_on_grids(vertices: DataFrame, placed: DataFrame, numbers: Sequence[int]) -> DataFrame:
     """(vertex, part, n_parts) for the existing end vertices of the edges that `placed_on_grids` has placed.
 
-    The parts of a vertex are gathered as bits, one row per vertex for all grids.
+    The parts of a vertex are gathered as bits, one row per vertex for all grids. An edge with a null end is in the part null,
+    which has the bit after the others.
     """
-    names = [f"part_{n}" for n in numbers]
+    names = [F.coalesce(f"part_{n}", F.lit(n)).alias(f"part_{n}") for n in numbers]
     ends = F.array(*[F.struct(F.col(t).alias("vtype"), F.col(u).alias("uri")) for t, u in ENDS])
     rows = _gathered_parts(vertices, placed.select("snapshot", *names, F.inline(ends)), numbers)
-    parts = [F.struct(F.lit(n).alias("n_parts"), F.lit(p).alias("part"), _holds(n, p).alias("held")) for n in numbers for p in range(n)]
+    part = {n: [*map(F.lit, range(n)), F.lit(None).cast("int")] for n in numbers}
+    parts = [F.struct(F.lit(n).alias("n_parts"), part[n][p].alias("part"), _holds(n, p).alias("held")) for n in numbers for p in range(n + 1)]
     return rows.select(*VERTEX_KEY, F.inline(F.array(*parts))).where("held").select(*VERTEX_KEY, "part", "n_parts")
 
 
 def _gathered_parts(vertices: DataFrame, ends: DataFrame, numbers: Sequence[int]) -> DataFrame:
-    """(vertex, bits of its parts by grid) of the vertices that are among the ends, whose columns `part_<n>` are below n or null.
+    """(vertex, bits of its parts by grid) of the vertices that are among the ends, whose columns `part_<n>` are up to n or null.
 
     `vertices` may have such columns as well. Copies are merged before the shuffle, and there is no join.
     """
-    words = [(n, w) for n in numbers for w in range(-(-n // WORD_BITS))]
+    words = [(n, w) for n in numbers for w in range(n // WORD_BITS + 1)]
 
     def bits(rows: DataFrame, known: bool) -> DataFrame:
         place = {n: F.col(f"part_{n}") if f"part_{n}" in rows.columns else F.lit(None).cast("int") for n in numbers}

@@ -113,7 +113,7 @@ def test_vertices_of_grids_are_moved_once(spark):
     placed = partitioning.placed_on_grids(edges, numbers)
     assert placed.count() == edges.count()
     found = partitioning.vertices_on_grids(vertices, placed, numbers)
-    plain = partitioning.vertices_of_parts(vertices, partitioning.parts_on_grids(edges, numbers).where("part IS NOT NULL"), "n_parts")
+    plain = partitioning.vertices_of_parts(vertices, partitioning.parts_on_grids(edges, numbers), "n_parts")
     names = ("snapshot", "vtype", "uri", "part", "n_parts")
     assert rows(found, *names) == rows(plain, *names)
     assert moved(found) == 1
